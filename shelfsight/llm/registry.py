@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op1_topk import OP1_SQL, op1_topk
 from .op3_substring_dedup import op3_substring_dedup
 from .op4_near_dedup import op4_near_dedup
+from .op6_mixing import OP6_SQL, op6_mixing
+from .op9_neighbours import op9_neighbours
+from .op10_pii import OP10_SQL, op10_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op6_mixing": op6_mixing,
+    "op9_neighbours": op9_neighbours,
+    "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_topk": OP1_SQL,
+    "op6_mixing": OP6_SQL,
+    "op10_pii": OP10_SQL,
+}

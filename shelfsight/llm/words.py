@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SEPARATORS = np.zeros(256, dtype=bool)
 SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -120,7 +121,7 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
 
 def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about `size` bytes of text each."""
-    lengths = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0).cast(pa.int64()))
+    lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0).cast(pa.int64()))
     group = np.cumsum(lengths) // size
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
