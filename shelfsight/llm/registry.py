@@ -10,6 +10,7 @@ from .op1_topk import OP1_SQL, op1_topk
 from .op3_substring_dedup import op3_substring_dedup
 from .op4_near_dedup import op4_near_dedup
 from .op6_mixing import OP6_SQL, op6_mixing
+from .op7_packing import op7_packing
 from .op9_neighbours import op9_neighbours
 from .op10_pii import OP10_SQL, op10_pii
 
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op6_mixing": op6_mixing,
+    "op7_packing": op7_packing,
     "op9_neighbours": op9_neighbours,
     "op10_pii": op10_pii,
 }
