@@ -1,25 +1,54 @@
-"""The corpus pipeline: documents in, packed pieces out."""
+"""The corpus pipeline: documents in, packed pieces out.
+
+Each stage works on what the one before it kept, as a written table; all but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfsight.llm.op4_near_dedup import keep_one_of_each
+from shelfsight.llm.op6_mixing import mixed_documents
+from shelfsight.llm.op7_packing import pack, vocabulary_path
+from shelfsight.llm.op8_quality import fitted, good_documents
+from shelfsight.llm.op10_pii import masked
 from shelfsight.llm.shared import saved
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it is fitted on this stage's own documents and their labels."""
+    return good_documents(docs, fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
     return keep_one_of_each(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become their kind in brackets."""
+    return masked(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each repetition of a document, the last one cut to the words it takes."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens."""
+    return pack(docs, vocabulary_path())
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("pii", pii), ("mixing", mixing), ("packing", packing)]
 
+#: A fitted classifier and a vocabulary can't be said in SQL; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

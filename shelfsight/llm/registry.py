@@ -11,6 +11,7 @@ from .op3_substring_dedup import op3_substring_dedup
 from .op4_near_dedup import op4_near_dedup
 from .op6_mixing import OP6_SQL, op6_mixing
 from .op7_packing import op7_packing
+from .op8_quality import op8_quality
 from .op9_neighbours import op9_neighbours
 from .op10_pii import OP10_SQL, op10_pii
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
+    "op8_quality": op8_quality,
     "op9_neighbours": op9_neighbours,
     "op10_pii": op10_pii,
 }
