@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op1_topk import OP1_SQL, op1_topk
+from .op2_html import op2_html
 from .op3_substring_dedup import op3_substring_dedup
 from .op4_near_dedup import op4_near_dedup
+from .op5_token_counts import op5_token_counts
 from .op6_mixing import OP6_SQL, op6_mixing
 from .op7_packing import op7_packing
 from .op8_quality import op8_quality
@@ -17,8 +19,10 @@ from .op10_pii import OP10_SQL, op10_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_html": op2_html,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,

@@ -103,7 +103,7 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     if lower:
         data = _LOWER[data]
     inside = ~SEPARATORS[data]
-    cut = first_byte[1:-1]
+    cut = np.unique(first_byte[1:-1])
     before = np.empty(len(data) + 1, dtype=bool)
     before[0] = before[-1] = False
     if len(data):
