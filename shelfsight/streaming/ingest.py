@@ -26,8 +26,8 @@ def append_batches(stream: DataFrame, to: str, checkpoint: str) -> StreamingQuer
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingested(spark: SparkSession, source: str, schema, to: str, checkpoint: str) -> DataFrame:
-    """All that a folder of event files holds now, taken in as micro-batches of one file each."""
+def ingested(spark: SparkSession, source: str, schema, to: str, checkpoint: str, late: str = "1 day") -> DataFrame:
+    """All that a folder of event files holds now, taken in as micro-batches of one file each; what comes later than `late` is left out."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    append_batches(observed(stream), to, checkpoint).awaitTermination()
+    append_batches(observed(stream, late), to, checkpoint).awaitTermination()
     return spark.read.option("mergeSchema", "false").parquet(to).drop("batch")

@@ -49,9 +49,9 @@ def test_replayed_stream_gives_each_event_once(spark, tmp_path):
     source = str(tmp_path / "in")
     events.repartition(3).write.parquet(source)
     events.limit(50).write.mode("append").parquet(source)
-    got = ingested(spark, source, events.schema, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = ingested(spark, source, events.schema, str(tmp_path / "out"), str(tmp_path / "state"), "60 days")
     assert got.count() == events.count() == got.select("event_id").distinct().count()
-    assert ingested(spark, source, events.schema, str(tmp_path / "out"), str(tmp_path / "state")).count() == events.count()
+    assert ingested(spark, source, events.schema, str(tmp_path / "out"), str(tmp_path / "state"), "60 days").count() == events.count()
 
 
 def test_entry_and_names():
