@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import saved, small_batches
 
 CONSTANT, LEAST = 0.6, 8
 LINKS = 0.6
@@ -339,7 +339,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages (page_id, url, html)."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    plain = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
+    plain = small_batches(pages).select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     trees = plain.select("host", "html").mapInArrow(_trees, "host string, wrapper string").where("wrapper is not null")
     counted = trees.groupBy("host", "wrapper").agg(F.count("*").alias("n"))
     wrappers = saved(counted.groupBy("host").agg(F.max_by("wrapper", F.struct("n", "wrapper")).alias("wrapper"), F.sum("n").alias("pages")))

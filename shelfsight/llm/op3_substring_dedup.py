@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import saved, small_batches
 from .words import WORD_BASE, mix, ngram_hashes, powers, slices, words_of
 
 SIZE = 35
@@ -235,7 +235,7 @@ def _without(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
 def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT, shard: int = SHARD) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words (joined by one space) of each row of docs (doc_id, text)."""
     text = F.col("text").cast("string")
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    plain = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     runs = plain.mapInArrow(partial(_runs, size=size, gram=gram), "id long, text_key long, anchor long, run long, first int, windows int")
     often = saved(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     held = saved(runs.join(often, "anchor"))

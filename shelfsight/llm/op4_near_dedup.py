@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, saved
+from .shared import components, saved, small_batches
 from .words import Words, mix, ngram_hashes, slices, words_of
 
 BANDS, ROWS = 32, 5
@@ -160,12 +160,12 @@ def _local_roots(links: np.ndarray) -> np.ndarray:
     return root
 
 
-def _resolve(group: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
+def _resolve(group: pd.DataFrame, shingle: int, percent: int, pivots: int) -> pd.DataFrame:
     """The components of one chunk: each document with the least of its component; pivot marks a few of the largest one."""
     group = group.sort_values("doc_id", ignore_index=True)
     root = _local_roots(_linked(_links(group["text"], shingle), percent))
     size = np.bincount(root, minlength=len(group))
-    largest = np.flatnonzero(root == size.argmax())[:PIVOTS]
+    largest = np.flatnonzero(root == size.argmax())[:pivots]
     pivot = np.zeros(len(group), dtype=bool)
     pivot[largest] = True
     return pd.DataFrame({"doc_id": group["doc_id"], "root": group["root"], "to": group["doc_id"].to_numpy()[root], "pivot": pivot})
@@ -185,7 +185,7 @@ def _resolve_across(group: pd.DataFrame, shingle: int, percent: int) -> pd.DataF
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     percent = round(similarity * 100)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = saved(plain.mapInArrow(partial(_sketches, shingle=shingle, bands=bands, rows=rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"))
     some = known.where("n_shingles > 0 and doc_id is not null")
     classes = saved(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")))
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     # chunks, then what a few of each chunk join, until one chunk holds a cluster's pivots
     out = "doc_id long, root long, to long, pivot boolean"
-    resolve = partial(_resolve, shingle=shingle, percent=percent)
+    resolve = partial(_resolve, shingle=shingle, percent=percent, pivots=max(1, min(PIVOTS, chunk // 4)))  # fewer at each round
 
     def resolved(members: DataFrame) -> DataFrame:
         parts = F.ceil(F.col("size") / chunk)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 MARK = "▁"
 UNKNOWN = 10.0
 #: Words whose counts a task keeps.
@@ -106,7 +108,7 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str, byte_fallback: bool)
 
 def token_counts(docs: DataFrame, path: str, byte_fallback: bool = True) -> DataFrame:
     """doc_id, n_words, n_tokens of each row of docs (doc_id, text)."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(partial(_counted, path=path, byte_fallback=byte_fallback), "doc_id long, n_words long, n_tokens long")
 
 

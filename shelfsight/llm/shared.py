@@ -23,6 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, in a session whose Arrow batches hold at most `rows` rows: whole texts are large, and two batches are held at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df as a written table: its lineage ends here, and a lost executor loses nothing of it."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ WORD_BASE = _U(0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Bytes of text that are turned into arrays at once (a longer text is taken whole).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 900_000
 
 
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
