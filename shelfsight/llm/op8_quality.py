@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .words import slices, words_of
 
 #: The most labelled documents that a fit takes.
@@ -167,7 +168,7 @@ class Model:
 
     def described(self, lines: Lines) -> np.ndarray:
         x = (lines.features - self.mean) / self.scale
-        steps = (lines.features[:, :, None] > self.cuts.T[None]).reshape(len(x), -1)
+        steps = (lines.features[:, :, None] > self.cuts.T[None]).reshape(len(x), self.cuts.size)
         return np.concatenate([_beside(np.clip(x, -4, 4), lines.first), steps, np.ones((len(x), 1))], axis=1)
 
     def log_odds(self, lines: Lines) -> np.ndarray:
@@ -252,7 +253,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     rows = texts.mapInArrow(_described, "doc_id long, good int, features binary, length binary").dropDuplicates(["doc_id"]).collect()  # at most `most` documents
     rows.sort(key=lambda r: r["doc_id"])
     width = lines_of(pa.array(["a"])).features.shape[1]
@@ -265,7 +266,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model:
 
 def quality(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = plain.mapInArrow(partial(_scored, model=model), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -280,7 +281,7 @@ def _good_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
 
 def good_documents(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the model accepts, columns as they are."""
-    return docs.mapInArrow(partial(_good_rows, model=model), docs.schema)
+    return small_batches(docs).mapInArrow(partial(_good_rows, model=model), docs.schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
