@@ -26,24 +26,29 @@ are packed each for itself. A null doc_id stays null. Empty tables give no rows.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import saved, small_batches
 
 SIZE, END = 2048, 1
 EXACT, STEP = 64, 16
 #: Remainders are cut at this part of a sequence.
 QUARTERS = 4
 GAP, ROUNDS = 0.002, 600
-#: Words whose tokens a task keeps.
-CACHE = 300_000
+#: Words whose tokens a task keeps at most, and those that the next task starts with (the first met, so the common ones).
+CACHE, COMMON = 500_000, 300_000
+#: Texts that are turned into tokens together.
+GROUP = 200
 #: Remainders in a hash bucket, about.
 BUCKET = 1000
 
@@ -64,28 +69,56 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
-    def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = [w for w in set(words) if w not in known]
+    def forget(self) -> None:
+        if len(self.known) > COMMON:
+            self.known = dict(islice(self.known.items(), COMMON))
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.known) > CACHE:
+            self.forget()
+        words = [text.split() for text in texts]
+        found = [list(map(self.known.get, some)) for some in words]
+        new: set[bytes] = set()
+        for some, got in zip(words, found):
+            if None in got:
+                new.update(w for w, x in zip(some, got) if x is None)
         if new:
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for w, e in zip(some, self.tokenizer.encode_batch([x.decode() for x in some], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+            self.learn(new)
+            known = self.known
+            found = [[known[w] if x is None else x for w, x in zip(some, got)] if None in got else got for some, got in zip(words, found)]
+        return [b"".join(got) for got in found]
+
+    def learn(self, words: set[bytes]) -> None:
+        """The vocabulary is in lower case, so words that differ in the case of A-Z are one; its special tokens are not."""
+        plain: dict[bytes, list[bytes]] = {}
+        for w in words:
+            plain.setdefault(w if b"<|" in w else w.lower(), []).append(w)
+        forms = list(plain)
+        for at in range(0, len(forms), 4096):
+            some = forms[at : at + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
+                ids = array("I", e.ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                for form in plain[w]:
+                    self.known[form] = ids.tobytes()
+
+
+@lru_cache(maxsize=1)
+def _tokens(path: str) -> WordTokens:
+    return WordTokens(path)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -> Iterator[pa.RecordBatch]:
-    tokens = WordTokens(path)
+    tokens = _tokens(path)
     last = np.array([end], dtype="<u4").tobytes()
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
         out: list[tuple] = []
-        for doc, text in zip(ids, batch.column("text").cast(pa.large_binary())):
-            body = (tokens.ids(text.as_py()) if text.is_valid else b"") + last
+        texts = [x or b"" for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
+        bodies = [body for at in range(0, len(texts), GROUP) for body in tokens.ids(texts[at : at + GROUP])]
+        for doc, body in zip(ids, bodies):
+            body += last
             total = len(body) // 4
             cuts = [*range(0, total, size), total]
             if total - cuts[-2] < size:
@@ -96,6 +129,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -
         if out:
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
+    tokens.forget()
 
 
 def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -178,7 +212,7 @@ def class_of(length, exact: int = EXACT, step: int = STEP):
 def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, bucket: int = BUCKET) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece of docs (doc_id, text)."""
     spark = docs.sparkSession
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = saved(plain.mapInArrow(partial(_pieces, path=path, size=size, end=end), kind))
     rest = pieces.where(F.col("length") < size).withColumn("class", class_of(F.col("length")))
