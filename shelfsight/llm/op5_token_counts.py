@@ -10,16 +10,21 @@ candidate only where no piece of one character starts, comes last, at UNKNOWN be
 least score of the vocabulary. Unknown characters that follow each other are one piece;
 with byte fallback that piece counts a token for each of its bytes, otherwise one.
 
-A text's tokens are those of its words, each with the word mark before it: no piece spans
-white space. A task keeps the counts of words that it has met.
-
-Rows: null, empty and blank texts have no tokens. Each row counts for itself, so repeated
-rows and null ids return as they come. Other columns are ignored.
+A text is counted whole, as the model's normaliser leaves it: a mark before it, each space
+a mark, other white space as it is (a line feed is an unknown character, so a byte piece).
+Control, unknown and byte pieces match no text. A task keeps the counts of chunks that it
+has met. A chunk is a run of spaces with the word after it, or a run of STRANGE characters
+that no piece holds: every path passes through its ends, as no piece holds a mark after
+another character and the mark is a piece. Where a vocabulary doesn't say so, a text is one chunk.
+
+Rows: null and empty texts have no tokens, blank ones those of their white space. Each row
+counts for itself, so repeated rows and null ids return as they come. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Collection, Iterator, Sequence
 from functools import lru_cache, partial
 
 import ahocorasick
@@ -31,7 +36,9 @@ from .shared import small_batches
 
 MARK = "▁"
 UNKNOWN = 10.0
-#: Words whose counts a task keeps.
+#: White space that ends a chunk where no piece of the vocabulary holds it.
+STRANGE = "\n\t\r\x0b\x0c"
+#: Chunks whose counts a task keeps.
 CACHE = 500_000
 
 
@@ -50,18 +57,33 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
+@lru_cache(maxsize=2)
+def silent(path: str) -> frozenset[str]:
+    """Pieces of a model file that match no text: control, unknown and byte ones."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return frozenset(model.id_to_piece(i) for i in range(model.get_piece_size()) if model.is_control(i) or model.is_unknown(i) or model.is_byte(i))
+
+
 class TokenCounter:
-    def __init__(self, pieces: Sequence[tuple[str, float]], byte_fallback: bool = True) -> None:
+    def __init__(self, pieces: Sequence[tuple[str, float]], byte_fallback: bool = True, hidden: Collection[str] = ()) -> None:
         self.matcher = ahocorasick.Automaton()
-        for piece, score in dict(reversed([p for p in pieces if p[0]])).items():
-            self.matcher.add_word(piece, (len(piece), score))
+        held = dict(reversed([p for p in pieces if p[0]]))
+        heard = [p for p in held if p not in hidden]
+        for piece in heard:
+            self.matcher.add_word(piece, (len(piece), held[piece]))
         self.matcher.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN
-        self.known_bytes = byte_fallback and all(self.matcher.exists(f"<0x{b:02X}>") for b in range(256))
-        self.words: dict[bytes, int] = {}
+        self.known_bytes = byte_fallback and all(f"<0x{b:02X}>" in held for b in range(256))
+        # unknown characters side by side are one token without byte fallback, so they end no chunk then
+        odd = "".join(c for c in STRANGE if not any(c in p for p in heard)) if self.known_bytes else ""
+        parted = MARK in heard and not any(MARK in p.lstrip(MARK) for p in heard)
+        self.chunks = re.compile((rf" *[^ {odd}]+| +|[{odd}]+" if odd else " *[^ ]+| +").encode() if parted else b"(?s).+").findall
+        self.known: dict[bytes, int] = {}
 
     def count(self, text: str) -> int:
-        """Tokens of one text without white space."""
+        """Tokens of one text, its spaces being marks."""
         n = len(text)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         for end, found in self.matcher.iter(text):
@@ -88,18 +110,20 @@ class TokenCounter:
         return tokens[n]
 
     def total(self, text: bytes) -> tuple[int, int]:
-        """Words of a text and their tokens."""
-        words, known = text.split(), self.words
+        """Words of a text and its tokens."""
+        if not text:
+            return 0, 0
+        chunks, known = self.chunks(b" " + text.replace(MARK.encode(), b" ")), self.known
         if len(known) > CACHE:
             known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = self.count(MARK + w.decode())
-        return len(words), sum(map(known.__getitem__, words))
+        for c in set(chunks):
+            if c not in known:
+                known[c] = self.count(c.decode().replace(" ", MARK))
+        return len(text.split()), sum(map(known.__getitem__, chunks))
 
 
 def _counted(batches: Iterator[pa.RecordBatch], path: str, byte_fallback: bool) -> Iterator[pa.RecordBatch]:
-    counter = TokenCounter(vocabulary(path), byte_fallback)
+    counter = TokenCounter(vocabulary(path), byte_fallback, silent(path))
     for batch in batches:
         found = [counter.total(x.as_py()) if x.is_valid else (0, 0) for x in batch.column("text").cast(pa.large_binary())]
         words, tokens = zip(*found) if found else ((), ())

@@ -273,6 +273,20 @@ def test_token_counts_follow_the_library(docs, none, rows, fallback):
     assert op5_token_counts.token_counts(none, path).collect() == []
 
 
+@pytest.mark.parametrize("fallback", [True, False])
+def test_token_counts_of_whole_texts(spark, fallback):
+    from tokenizers import Tokenizer, models
+
+    path = op5_token_counts.vocabulary_path()
+    library = Tokenizer(models.Unigram(op5_token_counts.vocabulary(path), unk_id=0, byte_fallback=fallback))
+    texts = ["hello\nworld", "a\n\n b", "  two  spaces ", " ", "\n", "\t\tif x:\r\n\t  y\r\n", "a" + " " * 23 + "b" + " " * 5, "mark \u2581 \u2581x\u2581", "\u4e00\U0001f9ff\n\U0001f9ff x", "a\x0bb\x0cc\u00a0d\x85", LONG]
+    texts += ["".join(rng.choice(list("ab the.\n\n\t  \r\u2581\u00e9\U0001f9ff"), size=60)) for _ in range(200)]
+    got = op5_token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, fallback).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(library.encode("\u2581" + t.replace(" ", "\u2581")).ids) for i, t in enumerate(texts)}
+    counter = op5_token_counts.TokenCounter(op5_token_counts.vocabulary(path), fallback, op5_token_counts.silent(path))
+    assert counter.total(b"<0x0A>")[1] > 2 and counter.total(b"") == (0, 0)  # said in the text, not a byte
+
+
 def test_ties_go_to_the_longer_last_piece():
     from tokenizers import Tokenizer, models
 
