@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import small_batches
-from .words import slices, words_of
+from .words import WORD_BASE, mix, powers, slices, words_of
 
 #: The most labelled documents that a fit takes.
 TRAIN = 4000
@@ -59,10 +59,21 @@ class Lines:
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values)])
+    """Sums of whole numbers between bounds."""
+    total = np.cumsum(values)
+    total = np.concatenate([np.zeros(1, total.dtype), total])  # a plain 0 would turn uint64 into float64
     return total[first[1:]] - total[first[:-1]]
 
 
+def _float_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of each document's values alone, whatever stands before it."""
+    out = np.zeros(len(first) - 1)
+    has = np.diff(first) > 0
+    if has.any():
+        out[has] = np.add.reduceat(values, first[:-1][has])
+    return out
+
+
 def lines_of(column: pa.Array) -> Lines:
     w = words_of(column)
     if not len(w.start):
@@ -82,7 +93,8 @@ def lines_of(column: pa.Array) -> Lines:
     key.sort()
     kinds = np.bincount((key[np.concatenate([[True], key[1:] != key[:-1]])] >> np.uint64(40)).astype(np.int64), minlength=len(n_words))
     same = np.concatenate([[False], (h[1:] == h[:-1]) & ~new[1:]])
-    text = _sums(h, span).view(np.uint64) ^ n_words.astype(np.uint64)
+    up, down = powers(WORD_BASE, len(h) + 1)
+    text = mix(_sums(h * up[: len(h)], span) * down[first_word[:-1]]) ^ n_words.astype(np.uint64)
     of = row[first_word[:-1]]
     order = np.lexsort((text, of))
     run = np.concatenate([[True], (text[order][1:] != text[order][:-1]) | (of[order][1:] != of[order][:-1])])
@@ -174,10 +186,10 @@ class Model:
     def log_odds(self, lines: Lines) -> np.ndarray:
         """Of each document's length-weighted share of good lines; nan without lines."""
         node = np.zeros((len(lines.length), 2))
-        node[:, 1] = self.described(lines) @ self.weights
+        node[:, 1] = (self.described(lines) * self.weights).sum(axis=1)  # a product of matrices rounds by a row's place
         p, _ = marginals(node, self.edge, lines.first)
-        weight = _sums(lines.length, lines.first)
-        share = _sums(lines.length * p[:, 1], lines.first) / np.where(weight > 0, weight, np.nan)
+        weight = _float_sums(lines.length, lines.first)
+        share = _float_sums(lines.length * p[:, 1], lines.first) / np.where(weight > 0, weight, np.nan)
         return np.log((share + 1e-4) / (1 - share + 1e-4))
 
     def scores(self, lines: Lines) -> np.ndarray:

@@ -426,6 +426,23 @@ def test_quality_on_held_out_documents(spark):
     assert op8_quality.quality(docs.limit(0), op8_quality.fitted(docs.limit(0), labels)).collect() == []
 
 
+def test_lines_that_repeat_are_found_at_every_place():
+    plain = [f"{prose(9, 300)}.\n{prose(5, 300)}" for _ in range(40)]
+    text = "same line here\nother one\nsame line here\nline same here\nsame line here"
+    copies = lambda lines: np.round(lines.features[:, -2] * 5).astype(int) + 1
+    assert set(copies(op8_quality.lines_of(pa.array(["one and the same\n" * 50])))) == {6}
+    bad = [f"{prose(9, 300)} %%\n" * 3 for _ in range(40)]
+    model = op8_quality.fit(op8_quality.lines_of(pa.array(plain + bad)), np.array([1] * 40 + [0] * 40))
+    alone = model.scores(op8_quality.lines_of(pa.array([text])))[0]
+    for before in range(0, 40, 3):
+        column = pa.array([*plain[:before], text, None, *bad[: before // 2], text])
+        lines = op8_quality.lines_of(column)
+        for at in (before, len(column) - 1):
+            assert copies(lines)[lines.first[at] : lines.first[at + 1]].tolist() == [3, 1, 3, 1, 3]
+        scores = model.scores(lines)
+        assert scores[before] == scores[-1] == alone
+
+
 # 10
 
 
