@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
-    return keep_one_of_each(docs)
+    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8), and one row of those equal in doc_id and text."""
+    return keep_one_of_each(docs, copies=False)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

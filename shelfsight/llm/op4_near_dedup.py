@@ -251,10 +251,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     )
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs whose document is kept, all columns as they are; of rows with one doc_id all stay."""
-    kept = near_duplicates(docs, shingle, similarity).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]), "left_semi")
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, copies: bool = True) -> DataFrame:
+    """The rows of docs whose document is kept, all columns as they are; of rows with one doc_id all stay.
+
+    Without `copies` one row of those that are equal in doc_id and text stays. A row without
+    an id is a document of its own, compared by a number beyond all ids.
+    """
+    least, most = docs.agg(F.coalesce(F.min(F.col("doc_id").cast("long")), F.lit(0)), F.coalesce(F.max(F.col("doc_id").cast("long")), F.lit(0))).first()
+    row = F.monotonically_increasing_id()
+    beyond = F.lit(most + 1) + row if most < 1 << 62 else F.lit(least - 1) - row
+    numbered = docs.withColumn("_hash", F.xxhash64(*docs.columns)).withColumn("_text", F.sha2(F.col("text").cast("string"), 256)).withColumn("_row", row)
+    numbered = saved(numbered.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), beyond)))
+    kept = near_duplicates(numbered.select(F.col("_id").alias("doc_id"), "text"), shingle, similarity).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    rows = numbered.select("_id", "_text", "_hash", "_row").join(kept, "_id", "left_semi")
+    if not copies:
+        rows = rows.groupBy("_id", "_text").agg(F.min_by("_row", F.struct("_hash", "_row")).alias("_row"))
+    return numbered.join(rows.select("_row"), "_row", "left_semi").select(docs.columns)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,10 +45,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, cap:
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for each row of docs (doc_id, text, source)."""
+def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED, also: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for each row of docs (doc_id, text, source), and columns of docs that `also` names; these settle ties."""
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"), *also)
     sized = saved(sized.withColumn("bucket", F.substring("key", 1, 3)))
     sums = saved(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     sources = saved(source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap))
@@ -60,21 +60,23 @@ def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SH
     edge = saved(edge.select("source", "bucket", "words", "before", "rest", "source_size", "target", "whole"))
     known = sized.join(edge.withColumnRenamed("source", "s").withColumnRenamed("bucket", "b"), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     boundary = (F.col("before") < F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *also).rowsBetween(Window.unboundedPreceding, -1)
     cut = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(inside), F.lit(0))))
     outside = F.when(F.col("before") + F.col("words") <= F.col("rest"), F.col("size")).otherwise(0)
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "whole", *also]
     parts = known.where(~boundary).select(*columns, outside.alias("more")).unionByName(known.where(boundary).select(*columns, cut.alias("more")))
-    return parts.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("more")).cast("long").alias("taken"))
+    return parts.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("more")).cast("long").alias("taken"), *also)
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """The mix itself, columns as they are: each document once for each repetition, the last one cut to the words it takes.
 
-    A cut text keeps its first words and what stands between them. doc_id must tell the documents apart.
+    A cut text keeps its first words and what stands between them. Each row keeps its own number of words,
+    also where rows share a doc_id or have none; of such rows of one size a hash of the row settles who is cut.
     """
-    taken = mixture(docs, weights, share, cap, seed).where("taken > 0").select(F.col("doc_id").alias("_of"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).dropDuplicates(["_of"])
-    rows = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(F.col("_of")))
+    numbered = saved(docs.withColumn("_hash", F.xxhash64(*docs.columns)).withColumn("_row", F.monotonically_increasing_id()))
+    taken = mixture(numbered, weights, share, cap, seed, ["_hash", "_row"]).where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    rows = numbered.join(taken, "_row")
     times = rows.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
     left = F.least(F.col("_size"), F.col("_taken") - (F.col("_time") - 1) * F.col("_size"))
     times = times.withColumn("_left", left)

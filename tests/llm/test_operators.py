@@ -250,6 +250,20 @@ def test_near_duplicates_keep_columns(docs, none, rows):
     assert op4_near_dedup.near_duplicates(none).collect() == []
 
 
+def test_near_duplicates_without_copies(spark):
+    text = prose(60, 3000)
+    others = [prose(60, 3000) for _ in range(6)]
+    rows = [(5, others[0], 1)] * 3 + [(5, others[1], 1), (None, text, 1), (None, text, 2), (None, f"{text} tail", 3), (None, others[0], 1), (None, others[2], 1), (None, None, 1), (None, None, 1), (7, None, 1), (7, None, 2), (1 << 40, others[3], 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(4)
+    kept = op4_near_dedup.keep_one_of_each(docs, copies=False)
+    assert kept.schema == docs.schema
+    got = Counter((r.doc_id, r.text and r.text.removesuffix(" tail")) for r in kept.collect())
+    assert got == {(5, others[0]): 1, (5, others[1]): 1, (None, text): 1, (None, others[2]): 1, (None, None): 2, (7, None): 1, (1 << 40, others[3]): 1}
+    assert op4_near_dedup.keep_one_of_each(docs.limit(0), copies=False).collect() == []
+    far = spark.createDataFrame([((1 << 63) - 1, text), (None, text), (None, others[0])], "doc_id long, text string")
+    assert sorted(r.text for r in op4_near_dedup.keep_one_of_each(far).collect()) == sorted([text, others[0]])
+
+
 def test_sketch_estimates_similarity():
     a, b = np.arange(1000, dtype=np.uint64), np.arange(200, 1200, dtype=np.uint64)
     cells = op4_near_dedup.sketch(np.repeat([0, 1], 1000), np.concatenate([a, b]), 2, 512)
@@ -343,6 +357,22 @@ def test_mixed_rows_hold_what_is_taken(spark):
     assert got == {i: n for i, n in want.items() if n}
 
 
+def test_rows_that_share_an_id_or_have_none_are_mixed_each_for_itself(spark):
+    rows = [(None if i % 3 == 0 else i % 4, " ".join(f"{i}w{k}" for k in range(1 + i * 7 % 23)), f"s{i % 3}") for i in range(50)]
+    rows += [(8, "same text of one id", "s0")] * 5 + [(None, "same text of none", "s1")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = op6_mixing.mixed_documents(docs).collect()
+    target = {r.source: int(r.target + 0.5) for r in op6_mixing.mixture(docs).collect()}
+    taken = Counter()
+    for r in got:
+        taken[r.source] += len(words(r.text))
+    assert taken == target
+    whole = {r[1] for r in rows}
+    assert sum(r.text not in whole for r in got) <= len(target)  # the boundary documents
+    again = op6_mixing.mixed_documents(docs.repartition(5)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
+
+
 # 7
 
 
