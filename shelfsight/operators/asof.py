@@ -39,5 +39,23 @@ def exact_median(values: Column) -> Column:
     s = F.array_sort(values)
     n = F.size(s)
     both = F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))
+    return _half(both)
+
+
+def _half(both: Column) -> Column:
     half = F.floor(both / 2)
     return (F.when(both % 2 == 1, half + half % 2).otherwise(half)).cast("long")
+
+
+def bands(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, low, median, high, n of the whole numbers `value` of each key; median as exact_median.
+
+    Equal values are counted first, so a key's rows meet as its different values with their
+    numbers, in order, and never as one array.
+    """
+    of = Window.partitionBy(key)
+    counts = rows.groupBy(key, value).agg(F.count("*").alias("_n"))
+    ranked = counts.withColumn("_upto", F.sum("_n").over(of.orderBy(value))).withColumn("_all", F.sum("_n").over(of))
+    at = lambda nth: F.min(F.when(F.col("_upto") >= nth, F.col(value)))
+    both = at(F.floor((F.col("_all") + 1) / 2)) + at(F.floor(F.col("_all") / 2) + 1)
+    return ranked.groupBy(key).agg(F.min(value).alias("low"), _half(both).alias("median"), F.max(value).alias("high"), F.sum("_n").alias("n"))

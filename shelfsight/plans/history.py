@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.asof import as_of_days, changes, exact_median, newest
+from ..operators.asof import as_of_days, bands, changes, newest
 from ..sources.tables import OBSERVATIONS, observations
 
 FIRST, LAST = "2024-01-01", "2024-01-30"
@@ -42,7 +42,7 @@ daily AS (SELECT offer_id, day, cents FROM ranked WHERE nth = 1 AND cents IS NOT
 
 
 def price_series_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily(spark, sf_dir).groupBy("day").agg(F.min("cents").alias("low"), exact_median(F.collect_list("cents")).alias("median"), F.max("cents").alias("high"), F.count("*").alias("listings"))
+    return bands(daily(spark, sf_dir), "day", "cents").withColumnRenamed("n", "listings")
 
 
 def price_series_shops(spark: SparkSession, sf_dir: str) -> DataFrame:

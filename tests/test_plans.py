@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from shelfsight.operators.asof import as_of_days, changes, exact_median
+from shelfsight.operators.asof import as_of_days, bands, changes, exact_median
 from shelfsight.plans.catalogue import closure
 from shelfsight.streaming.ingest import ingested
 
@@ -39,6 +39,20 @@ def test_median_rounds_half_to_even(spark, values, middle):
     assert spark.range(1).select(exact_median(F.array(*[F.lit(v).cast("long") for v in values]))).first()[0] == middle
 
 
+def test_bands_equal_medians_of_arrays(spark):
+    rows = spark.range(500).select((F.col("id") % 7).alias("k"), (F.col("id") * F.col("id") % 41 - 5).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([(8, 3), (9, 76401), (9, 76402)], "k long, v long"))
+    want = rows.groupBy("k").agg(F.min("v"), exact_median(F.collect_list("v")), F.max("v"), F.count("*"))
+    assert sorted(map(tuple, bands(rows, "k", "v").collect())) == sorted(map(tuple, want.collect()))
+    assert bands(rows.limit(0), "k", "v").collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
+def test_a_day_is_not_gathered_in_one_array(spark):
+    plan = __spark_entry__.queries()["price_series_band"](spark, SMALL)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "_upto" in plan
+
+
 def test_closure(spark):
     tree = spark.createDataFrame([("a", None, True), ("b", "a", True), ("c", "b", False)], "id string, parent string, visible boolean")
     assert {(r.id, r.above, r.depth) for r in closure(tree).collect()} == {("a", "a", 0), ("b", "b", 0), ("c", "c", 0), ("b", "a", 1), ("c", "b", 1), ("c", "a", 2)}
