@@ -4,7 +4,9 @@ Method. For each kind a pattern proposes spans; validators confirm them (parts o
 address up to 255, Luhn and length for cards, length for phones, mod-97 for IBANs), and
 words of the kind within CONTEXT characters before a span raise its score. Base kinds
 (email, ip, card, phone) stay whatever their score; an IBAN is reported at a score of
-IBAN_LEAST or more.
+IBAN_LEAST or more. An IBAN is as long as its country says, so that words after it stay
+outside; one of a country that LENGTHS doesn't know is a weaker proposal of any length,
+which counts only with a word of context.
 
 Patterns are written with possessive repeats and look-behind, so that each text is
 passed over once whatever it holds (no backtracking over long runs, no recursion over
@@ -24,8 +26,27 @@ from pyspark.sql import functions as F
 
 CONTEXT = 40
 IBAN_LEAST = 0.7
+#: Length of an IBAN by country.
+LENGTHS = {
+    n: codes.split()
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+_KNOWN = "|".join(c for codes in LENGTHS.values() for c in codes)
 KINDS = ("email", "ip", "card", "phone", "iban")
 
+
+
+def _iban() -> str:
+    """A country's IBANs by length, and those of other countries."""
+    tail = lambda n: rf"\x20?[A-Z0-9]{{{n}}}" if n else ""
+    known = [rf"(?:{'|'.join(codes)})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}{tail(n % 4)}" for n, codes in LENGTHS.items()]
+    other = rf"(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join([*known, other])})(?![A-Za-z0-9])"
+
+
 _LOCAL = "A-Za-z0-9._%+-"
 #: A cheap test, and the pattern.
 PATTERNS = {
@@ -33,8 +54,10 @@ PATTERNS = {
     "ip": (lambda t: t.rlike(r"[0-9]\.[0-9]"), r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"),
     "card": (lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"),
     "phone": (lambda t: t.contains("+"), r"\+[0-9][\x20().0-9-]+[0-9]"),
-    "iban": (lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"), r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "iban": (lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"), _iban()),
 }
+#: Score of an IBAN of a country that LENGTHS doesn't know, without context.
+IBAN_OTHER = 0.5
 #: Score without context, and words that raise it by 0.3.
 SCORES = {
     "email": (0.7, "mail|contact|write|kontakt|correo|courriel"),
@@ -87,7 +110,8 @@ def _confirmed(kind: str, proposed: Column, text: Column) -> Column:
 
     def scored(x: Column) -> Column:
         near = F.substr(text, F.greatest(F.lit(1), x["start"] - CONTEXT + 1), F.least(x["start"], F.lit(CONTEXT)))
-        raised = F.when(F.lower(near).rlike(rf"\b(?:{words})"), F.lit(score + 0.3)).otherwise(F.lit(score))
+        base = F.when(x["m"].rlike(f"^(?:{_KNOWN})"), score).otherwise(IBAN_OTHER) if kind == "iban" else F.lit(score)
+        raised = F.when(F.lower(near).rlike(rf"\b(?:{words})"), base + 0.3).otherwise(base)
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), raised.alias("score"))
 
     spans = F.transform(F.filter(proposed, lambda x: _valid(kind, x["m"])), scored)

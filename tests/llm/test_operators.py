@@ -518,3 +518,21 @@ def test_pii(spark):
     assert op10_pii.find_spans(docs.drop("pii").limit(0)).collect() == []
 
 
+
+
+def iban(country, bban):
+    turned = "".join(str(int(c, 36)) for c in f"{bban}{country}00")
+    return f"{country}{98 - int(turned) % 97:02d}{bban}"
+
+
+def test_an_iban_ends_where_its_country_says(spark):
+    other = iban("ZZ", "12345678901234")
+    texts = {
+        "ES9121000418450200051332 EUR": 1, "BE68 5390 0754 7034 BANK": 1, f"{iban('PL', '109010140000071219812874')} PLN X": 1, "NO9386011117947 NOK": 1, "BE68 5390 0754 7035 BANK": 0,
+        "BE6853900754703": 0, "BE68539007547034A": 0, f"{iban('AT', '1904300234573201')} AND SE4550000000058398257466 SEK": 2, other: 0, f"account {other}": 1,
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.text: [x for x in r.pii if x.kind == "iban"] for r in op10_pii.find_spans(docs).collect()}
+    assert {t: len(x) for t, x in found.items()} == texts
+    assert found["BE68 5390 0754 7034 BANK"][0][1:] == (0, 19, 0.7) and found[f"account {other}"][0].score == pytest.approx(0.8)
+    assert {r.doc_id: r.text for r in op10_pii.masked(docs).collect()}[1] == "[IBAN] BANK"
