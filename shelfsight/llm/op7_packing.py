@@ -89,10 +89,13 @@ class WordTokens:
         return [b"".join(got) for got in found]
 
     def learn(self, words: set[bytes]) -> None:
-        """The vocabulary is in lower case, so words that differ in the case of A-Z are one; its special tokens are not."""
+        """The vocabulary is in lower case, so ASCII words that differ in case are one; its special tokens are not.
+
+        A mark may compose with a small letter only (J and U+030C), and this is settled before the case.
+        """
         plain: dict[bytes, list[bytes]] = {}
         for w in words:
-            plain.setdefault(w if b"<|" in w else w.lower(), []).append(w)
+            plain.setdefault(w.lower() if w.isascii() and b"<|" not in w else w, []).append(w)
         forms = list(plain)
         for at in range(0, len(forms), 4096):
             some = forms[at : at + 4096]

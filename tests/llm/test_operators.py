@@ -414,6 +414,16 @@ def test_patterns_hold_the_demand():
     assert op7_packing.patterns(sizes[:0], demand[:0], 40) == []
 
 
+def test_packing_of_marks_that_compose_with_small_letters_only(spark):
+    from tokenizers import Tokenizer
+
+    path = op7_packing.vocabulary_path()
+    tokenizer = Tokenizer.from_file(path)
+    tokens = op7_packing.WordTokens(path)
+    for word in ("J\u030c", "T\u0308", "H\u0331", "W\u030a", "Y\u030a", "j\u030c", "PLAIN", "Plain", "\u00c9T\u0308a"):
+        assert np.frombuffer(tokens.ids([word.encode()])[0], "<u4").tolist() == tokenizer.encode(word, add_special_tokens=False).ids, word
+
+
 # 8
 
 
