@@ -26,9 +26,8 @@ are packed each for itself. A null doc_id stays null. Empty tables give no rows.
 from __future__ import annotations
 
 import os
-import sys
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from itertools import islice
@@ -47,6 +46,10 @@ QUARTERS = 4
 GAP, ROUNDS = 0.002, 600
 #: Words whose tokens a task keeps at most, and those that the next task starts with (the first met, so the common ones).
 CACHE, COMMON = 500_000, 300_000
+#: Bytes of words whose tokens a task keeps at most; a word may be as long as a text.
+CACHE_BYTES = 64_000_000
+#: New parts of words that are encoded together.
+JOINED = 4096
 #: Texts that are turned into tokens together.
 GROUP = 200
 #: Remainders in a hash bucket, about.
@@ -59,22 +62,46 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Characters that the normaliser's first steps leave alone, and whose kind all versions of Unicode agree on.
+_SETTLED = "\x21-\x7e\xa1-\u024f\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u205e\u20ac\u4e00-\u9fa5"
+_LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f\u0430-\u0481\u048a-\u04ff\u4e00-\u9fa5"
+_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_settled = re.compile(f"[{_SETTLED}\n]+").fullmatch
+#: The vocabulary's own splitter, over settled characters in lower case; a line feed stands between words.
+_parts = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|\n|[^{_LETTER}{_NUMBER}\n]+").findall
+
+
 class WordTokens:
-    """Token ids of whole texts as little-endian 32-bit bytes, word by word, with the words' ids kept."""
+    """Token ids of whole texts as little-endian 32-bit bytes, word by word.
+
+    The ids of words, and of the parts into which the vocabulary's splitter cuts them, are
+    kept. New parts are encoded many at a time in one text and told apart by the
+    vocabulary's word ends: the last token of a part, and no other, has one.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, dtype=bool)
+        self.ends[[i for piece, i in words.items() if piece.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.held = 0
 
     def forget(self) -> None:
+        """Back to the common words where there are too many, and to none where too long ones were met."""
+        if self.held > CACHE_BYTES:
+            self.known, self.parts, self.held = {}, {}, 0
         if len(self.known) > COMMON:
             self.known = dict(islice(self.known.items(), COMMON))
+        if len(self.parts) > CACHE:
+            self.parts = {}
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > CACHE:
+        if len(self.known) > CACHE or self.held > CACHE_BYTES:
             self.forget()
         words = [text.split() for text in texts]
         found = [list(map(self.known.get, some)) for some in words]
@@ -88,23 +115,44 @@ class WordTokens:
             found = [[known[w] if x is None else x for w, x in zip(some, got)] if None in got else got for some, got in zip(words, found)]
         return [b"".join(got) for got in found]
 
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def learn(self, words: set[bytes]) -> None:
-        """The vocabulary is in lower case, so ASCII words that differ in case are one; its special tokens are not.
-
-        A mark may compose with a small letter only (J and U+030C), and this is settled before the case.
-        """
-        plain: dict[bytes, list[bytes]] = {}
-        for w in words:
-            plain.setdefault(w.lower() if w.isascii() and b"<|" not in w else w, []).append(w)
-        forms = list(plain)
-        for at in range(0, len(forms), 4096):
-            some = forms[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
-                ids = array("I", e.ids)
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                for form in plain[w]:
-                    self.known[form] = ids.tobytes()
+        """Words of settled characters by their parts in lower case; others, and those that may hold a special token, whole."""
+        every = list(words)
+        for at in range(0, len(every), JOINED):
+            some = every[at : at + JOINED]
+            text = b"\n".join(some).decode()
+            low = text.lower()
+            if "<|" in text or not _settled(text) or not _settled(low):
+                plain = [w for w in some if b"<|" not in w and _settled(w.decode()) and _settled(w.decode().lower())]
+                whole = list(set(some).difference(plain))
+                self.known.update(zip(whole, [x.tobytes() for x in self.encoded([w.decode() for w in whole])]))
+                some, low = plain, b"\n".join(plain).decode().lower()
+            if some:
+                self.learn_settled(some, _parts(low + "\n"))
+        self.held += sum(map(len, every))
+
+    def learn_settled(self, words: list[bytes], cut: list[str]) -> None:
+        """Words from their parts, with a line feed after those of each."""
+        ends = "\n"
+        parts = self.parts
+        parts[ends] = b""
+        new = list({p for p in cut if p not in parts})
+        if new:
+            ids = self.encoded([" ".join(new)])[0]
+            bounds = np.flatnonzero(self.ends[ids]) + 1
+            if len(bounds) == len(new) and bounds[-1] == len(ids):
+                body, stops = ids.tobytes(), (bounds * 4).tolist()
+                parts.update(zip(new, [body[a:b] for a, b in zip([0, *stops], stops)]))
+            else:  # a vocabulary without such word ends
+                parts.update(zip(new, [x.tobytes() for x in self.encoded(new)]))
+            self.held += sum(map(len, new))
+        got = [parts[p] for p in cut]
+        last = np.fromiter(map(ends.__eq__, cut), dtype=bool, count=len(cut))
+        body, stops = b"".join(got), np.cumsum(np.fromiter(map(len, got), dtype=np.int64, count=len(got)))[last].tolist()
+        self.known.update(zip(words, [body[a:b] for a, b in zip([0, *stops], stops)]))
 
 
 @lru_cache(maxsize=1)
@@ -238,7 +286,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, bucket: i
     counts = dealt.groupBy("class", "bucket").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("class").orderBy("bucket")) - F.col("n")).drop("n")
     nth = F.row_number().over(Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
-    ranked = dealt.withColumn("nth", nth).join(saved(before), ["class", "bucket"]).withColumn("rank", F.col("before") + F.col("nth"))
+    ranked = dealt.withColumn("nth", nth).join(saved(before).hint("merge"), ["class", "bucket"]).withColumn("rank", F.col("before") + F.col("nth"))
     inside = (ranked["class"] == slots["class"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     placed = ranked.join(F.broadcast(slots), inside).withColumn("sequence_id", F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("each")))
     order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "rank")
