@@ -14,7 +14,7 @@ from .op5_token_counts import op5_token_counts
 from .op6_mixing import OP6_SQL, op6_mixing
 from .op7_packing import op7_packing
 from .op8_quality import op8_quality
-from .op9_neighbours import op9_neighbours
+from .op9_neighbours import OP9_SQL, op9_neighbours
 from .op10_pii import OP10_SQL, op10_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -33,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_topk": OP1_SQL,
     "op6_mixing": OP6_SQL,
+    "op9_neighbours": OP9_SQL,
     "op10_pii": OP10_SQL,
 }

@@ -78,9 +78,9 @@ def against(candidates: DataFrame, asked: DataFrame, n_asked: int) -> DataFrame:
     """Each block of candidates with each block of queries of its dimension.
 
     A few query blocks are broadcast; more are dealt out, each to SALTS places at which
-    a part of the candidates is, so that both sides move as blocks and never as pairs of rows.
+    a part of the candidates is (by their content, so that a repeated task deals alike), so that both sides move as blocks and never as pairs of rows.
     """
     if n_asked <= BROADCAST:
         return candidates.join(F.broadcast(asked), "dim")
-    salted = candidates.withColumn("salt", (F.rand(7) * SALTS).cast("int"))
+    salted = candidates.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int"))
     return salted.join(asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["dim", "salt"]).drop("salt")

@@ -3,6 +3,8 @@
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -111,24 +113,46 @@ def test_large_products_stay_exact():
     assert op1_topk.scores(q, q).tolist() == [[2**80 % 2**64 + 9, 2**40 + 3], [2**40 + 3, 2]]
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("fine, shard_bytes, most_queries", [(op9_neighbours.FINE, op9_neighbours.SHARD_BYTES, op9_neighbours.QUERIES), (2, 2048, 4), (op9_neighbours.FINE, 640, 7)])
+def test_neighbours(spark, fine, shard_bytes, most_queries):
     rows, table = vectors(spark, [(900, [0.0] * 8, "", 0.0)])
     usable = table.where(F.col("vec_id").isNotNull() & op9_neighbours.usable(F.col("vector")) & F.exists("vector", lambda x: x != 0))
     got = defaultdict(list)
-    for r in sorted(op9_neighbours.nearest(usable, usable.where("vec_id % 20 = 0"), 20, chunk=16).collect(), key=lambda r: (r.query_id, r.rank)):
+    for r in sorted(op9_neighbours.nearest(usable, usable.where("vec_id % 20 = 0"), 20, fine=fine, shard_bytes=shard_bytes, most_queries=most_queries).collect(), key=lambda r: (r.query_id, r.rank)):
         got[r.query_id].append((r.vec_id, r.score))
     v = {i: np.array(x) for i, x, *_ in rows}
     hits = 0
     for q in (i for i in v if i % 20 == 0):
         best = [i for _, i in sorted((-float((v[q] * c).sum()), i) for i, c in v.items() if i != q)[:20]]
-        assert len(got[q]) == 20 and all(s == float((v[q] * v[i]).sum()) for i, s in got[q])
+        assert len(got[q]) == 20 and all(s == reduce(add, (v[q] * v[i]).tolist()) for i, s in got[q])
         assert got[q] == sorted(got[q], key=lambda x: (-x[1], x[0]))
         hits += len(set(best) & {i for i, _ in got[q]})
     assert hits >= 0.9 * 20 * 12
+    assert sorted({i for q in got for i, _ in got[q]} - set(v)) == []
     few = usable.where("vec_id < 9")
     assert op9_neighbours.nearest(few, few.where("vec_id = 0"), 20).count() == 8
 
 
+@pytest.mark.parametrize("n", [300, 6000])
+def test_recall_of_neighbours(spark, n):
+    """Against brute force, on vectors without much structure, with a third of all rows being one vector."""
+    v = np.random.default_rng(n).normal(size=(n, 64)).astype(np.float32)
+    v[n // 3 : 2 * n // 3] = v[0]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, vector array<double>").repartition(4)
+    found = defaultdict(dict)
+    for r in op9_neighbours.nearest(table, table.where("vec_id % 100 = 0"), 20).collect():
+        found[r.query_id][r.vec_id] = r.score
+    hits = 0
+    for q in range(0, n, 100):
+        s = v.astype(float) @ v[q].astype(float)
+        s[q] = -9
+        kth = np.sort(s)[-20]
+        assert len(found[q]) == 20
+        hits += sum(x >= kth - 1e-12 for x in found[q].values())
+    assert hits >= 0.9 * 20 * len(range(0, n, 100))
+
+
 # 2
 
 
