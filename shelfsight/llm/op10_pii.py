@@ -1,12 +1,16 @@
 """Personal data: regular expressions propose, checksums confirm, context adjusts. SQL functions only.
 
 Method. For each kind a pattern proposes spans; validators confirm them (parts of an IP
-address up to 255, Luhn and length for cards, length for phones, mod-97 for IBANs), and
-words of the kind within CONTEXT characters before a span raise its score. Base kinds
-(email, ip, card, phone) stay whatever their score; an IBAN is reported at a score of
-IBAN_LEAST or more. An IBAN is as long as its country says, so that words after it stay
-outside; one of a country that LENGTHS doesn't know is a weaker proposal of any length,
-which counts only with a word of context.
+address up to 255, Luhn and length for cards, length for phones, mod-97 for IBANs,
+letters and digits for secrets). Words of the kind within CONTEXT characters before a span
+raise its score by STEP, words of something else lower it. Base kinds (email, ip, card,
+phone) stay whatever their score; the kinds that the method adds are reported at LEAST or more:
+
+- iban: as long as its country says, so that words after it stay outside. It counts unless
+  words before it say that it is a number of another kind. One of a country that LENGTHS
+  doesn't know is a weaker proposal of any length, which counts only with a word of context.
+- secret: 32 or more hexadecimal digits, which count only after a word such as token or key
+  (a checksum or a commit looks the same).
 
 Patterns are written with possessive repeats and look-behind, so that each text is
 passed over once whatever it holds (no backtracking over long runs, no recursion over
@@ -14,7 +18,8 @@ many groups); they match what the plain ones of BASE match, which SQL below uses
 they are. Positions come from the lengths of the matches and of what lies between.
 
 Rows: a null text counts as empty: no spans. Rows are treated one by one, so repeated
-rows and null ids return as they come. Offsets are code points, end exclusive.
+rows and null ids return as they come. Offsets are code points, end exclusive. Columns of
+the input may have any names; working columns get names that none of them has.
 """
 
 from __future__ import annotations
@@ -24,8 +29,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CONTEXT = 40
-IBAN_LEAST = 0.7
+from .shared import spare
+
+CONTEXT, STEP, LEAST = 40, 30, 70
 #: Length of an IBAN by country.
 LENGTHS = {
     n: codes.split()
@@ -35,18 +41,27 @@ LENGTHS = {
     }.items()
 }
 _KNOWN = "|".join(c for codes in LENGTHS.values() for c in codes)
-KINDS = ("email", "ip", "card", "phone", "iban")
+#: Kinds of spans: four base ones, then those that the method adds.
+KINDS = ("email", "ip", "card", "phone", "iban", "secret")
+ADDED = KINDS[4:]
+
 
+def _other_countries() -> str:
+    """Two capitals that are no country of LENGTHS."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    held = set(_KNOWN.split("|"))
+    return "|".join(f"{a}[{''.join(b for b in letters if a + b not in held)}]" for a in letters)
 
 
 def _iban() -> str:
     """A country's IBANs by length, and those of other countries."""
     tail = lambda n: rf"\x20?[A-Z0-9]{{{n}}}" if n else ""
     known = [rf"(?:{'|'.join(codes)})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}{tail(n % 4)}" for n, codes in LENGTHS.items()]
-    other = rf"(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?"
-    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join([*known, other])})(?![A-Za-z0-9])"
+    other = rf"(?:{_other_countries()})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?"
+    return "|".join([*known, other])
 
 
+_HEX = "[0-9A-Fa-f]{32,}"
 _LOCAL = "A-Za-z0-9._%+-"
 #: A cheap test, and the pattern.
 PATTERNS = {
@@ -54,17 +69,19 @@ PATTERNS = {
     "ip": (lambda t: t.rlike(r"[0-9]\.[0-9]"), r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"),
     "card": (lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"),
     "phone": (lambda t: t.contains("+"), r"\+[0-9][\x20().0-9-]+[0-9]"),
-    "iban": (lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"), _iban()),
+    "iban": (lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"), rf"(?<![A-Za-z0-9_])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_iban()})(?![A-Za-z0-9_])"),
+    "secret": (lambda t: t.rlike(r"[0-9A-Fa-f]{32}"), rf"(?<![A-Za-z0-9_]){_HEX}+(?![A-Za-z0-9_])"),
 }
 #: Score of an IBAN of a country that LENGTHS doesn't know, without context.
-IBAN_OTHER = 0.5
-#: Score without context, and words that raise it by 0.3.
+IBAN_OTHER = 50
+#: Score without context in hundredths, words that raise it, and words that lower it.
 SCORES = {
-    "email": (0.7, "mail|contact|write|kontakt|correo|courriel"),
-    "ip": (0.5, "ip|host|server|address|adresse"),
-    "card": (0.6, "card|credit|visa|karte|carte|tarjeta"),
-    "phone": (0.5, "phone|tel|call|mobile|fax|anruf"),
-    "iban": (0.7, "iban|account|bank|konto|compte|cuenta"),
+    "email": (70, "mail|contact|write|kontakt|correo|courriel", "@"),
+    "ip": (50, "ip|host|server|address|adresse", "version|release|section"),
+    "card": (60, "card|credit|visa|karte|carte|tarjeta", "isbn|tracking|serial"),
+    "phone": (50, "phone|tel|call|mobile|fax|anruf", "isbn|serial|order"),
+    "iban": (70, "iban|account|bank|konto|compte|cuenta", "serial|part|order|model|tracking|voucher"),
+    "secret": (40, "token|secret|password|passwd|api|key|credential|auth", "sha|md5|checksum|hash|digest|commit|revision"),
 }
 
 
@@ -101,25 +118,32 @@ def _valid(kind: str, match: Column) -> Column:
         return F.length(_digits(match)).between(9, 15)
     if kind == "iban":
         return mod97(match)
+    if kind == "secret":
+        return match.rlike("[0-9]") & match.rlike("[A-Fa-f]")
     return F.lit(True)
 
 
 def _confirmed(kind: str, proposed: Column, text: Column) -> Column:
     """The valid ones of some matches, as spans with scores."""
-    score, words = SCORES[kind]
+    base, more, less = SCORES[kind]
+    said = lambda near, words: F.when(near.rlike(_word(words)), STEP).otherwise(0)
 
     def scored(x: Column) -> Column:
-        near = F.substr(text, F.greatest(F.lit(1), x["start"] - CONTEXT + 1), F.least(x["start"], F.lit(CONTEXT)))
-        base = F.when(x["m"].rlike(f"^(?:{_KNOWN})"), score).otherwise(IBAN_OTHER) if kind == "iban" else F.lit(score)
-        raised = F.when(F.lower(near).rlike(rf"\b(?:{words})"), base + 0.3).otherwise(base)
-        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), raised.alias("score"))
+        near = F.lower(F.substr(text, F.greatest(F.lit(1), x["start"] - CONTEXT + 1), F.least(x["start"], F.lit(CONTEXT))))
+        alone = F.when(x["m"].rlike(f"^(?:{_KNOWN})"), base).otherwise(IBAN_OTHER) if kind == "iban" else F.lit(base)
+        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), (alone + said(near, more) - said(near, less)).alias("score"))
 
     spans = F.transform(F.filter(proposed, lambda x: _valid(kind, x["m"])), scored)
-    return F.filter(spans, lambda x: x["score"] >= IBAN_LEAST) if kind == "iban" else spans
+    return F.filter(spans, lambda x: x["score"] >= LEAST) if kind in ADDED else spans
+
+
+def _word(words: str) -> str:
+    return f"(?:^|[^a-z0-9_])(?:{words})"
 
 
 def find_spans(docs: DataFrame, text: str = "text", to: str = "pii") -> DataFrame:
-    """docs with a column more: array<struct<kind,start,end,score>>, by kind as in KINDS, then start."""
+    """docs with a column more: array<struct<kind,start,end,score>>, by kind as in KINDS, then start; scores are hundredths."""
+    result, to = to, spare([*docs.columns, to], "_pii")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     for kind, (likely, pattern) in PATTERNS.items():
         none = F.array().cast("array<string>")
@@ -137,28 +161,30 @@ def find_spans(docs: DataFrame, text: str = "text", to: str = "pii") -> DataFram
 
         start = F.struct(F.lit(0).alias("at"), empty.alias("all"))
         docs = docs.withColumn(f"{to}_{kind}_p", F.when(F.size(zipped) > 0, F.aggregate(zipped, start, place, lambda s: s["all"])).otherwise(empty))
-    docs = docs.withColumn(to, F.concat(*[_confirmed(kind, F.col(f"{to}_{kind}_p"), t) for kind in PATTERNS]))
+    docs = docs.withColumn(result, F.concat(*[_confirmed(kind, F.col(f"{to}_{kind}_p"), t) for kind in PATTERNS]))
     return docs.drop(*[f"{to}_{kind}_{x}" for kind in PATTERNS for x in "mgp"])
 
 
 def masked(docs: DataFrame) -> DataFrame:
     """docs with each span replaced by its kind in brackets; columns as they are."""
-    rows = find_spans(docs, to="_pii")
+    own = spare(docs.columns, "_mask")
+    spans, sorted_spans, done, new = (f"{own}_{x}" for x in ("spans", "sorted", "done", "text"))
+    rows = find_spans(docs, to=spans)
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    ordered = F.array_sort(F.transform("_pii", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
     def step(state: Column, x: Column) -> Column:
         over = x["start"] < state["at"]  # inside a span that has gone already
         more = F.concat(F.substr(t, state["at"] + 1, x["start"] - state["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
         return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(over, state["out"]).otherwise(F.concat(state["out"], more)).alias("out"))
 
-    rows = rows.withColumn("_ordered", ordered)
-    rows = rows.withColumn("_done", F.when(F.size("_ordered") > 0, F.aggregate("_ordered", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)))
-    text = F.when(F.size("_ordered") > 0, F.concat(F.col("_done.out"), F.substr(t, F.col("_done.at") + 1))).otherwise(F.col("text"))
-    rows = rows.withColumn("_text", text)
-    out = {c: F.col(c) for c in docs.columns} | {"text": F.col("_text")}
+    some = F.size(sorted_spans) > 0
+    rows = rows.withColumn(sorted_spans, ordered)
+    rows = rows.withColumn(done, F.when(some, F.aggregate(sorted_spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)))
+    rows = rows.withColumn(new, F.when(some, F.concat(F.col(f"{done}.out"), F.substr(t, F.col(f"{done}.at") + 1))).otherwise(F.col("text")))
+    out = {c: F.col(c) for c in docs.columns} | {"text": F.col(new)}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.size("_ordered") > 0, F.length("_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(some, F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return rows.select(*[x.alias(c) for c, x in out.items()])
 
 
@@ -167,8 +193,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     joined = lambda spans: F.array_join(F.transform(spans, said), ",")
     count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    base = F.filter("pii", lambda x: x["kind"] != "iban")
-    return docs.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    base = F.filter("pii", lambda x: ~x["kind"].isin(*ADDED))
+    scores = F.array_join(F.transform("pii", lambda x: x["score"].cast("string")), ",").alias("scores")
+    return docs.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), *[count(k) for k in ADDED], scores)
 
 
 #: The plain patterns.
@@ -178,34 +205,44 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_IBAN_SQL = r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"
+#: Those of the added kinds, for an engine without look-behind; `\b` beside a letter or digit is the same test.
+MORE = {"iban": rf"\b(?:{_iban()})\b", "secret": rf"\b{_HEX}\b"}
 
 
 def _sql() -> str:
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     double = lambda i: f"CAST(substr(d, len(d) - {i}, 1) AS INTEGER)"
+    plain = "replace(m, ' ', '')"
+    number = "list_transform(string_split(" + f"substr({plain}, 5) || substr({plain}, 1, 4)" + ", ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN CAST(c AS INTEGER) ELSE ascii(c) - 55 END)"
     valid = {
         "email": "true",
         "ip": "len(list_filter(string_split(m, '.'), lambda p: len(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INTEGER), 0) > 255)) = 0",
         "card": f"len(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(0, len(d)), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN {double('i')} > 4 THEN {double('i')} * 2 - 9 ELSE {double('i')} * 2 END ELSE {double('i')} END)) % 10 = 0",
         "phone": "len(d) BETWEEN 9 AND 15",
+        "iban": f"len({plain}) BETWEEN 15 AND 34 AND list_reduce({number}, lambda a, x: (a * CASE WHEN x < 10 THEN 10 ELSE 100 END + x) % 97) = 1",
+        "secret": "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Fa-f]')",
     }
     parts = []
-    for n, (kind, pattern) in enumerate(BASE.items()):
+    for n, (kind, pattern) in enumerate((BASE | MORE).items()):
+        base, more, less = SCORES[kind]
+        alone = f"CASE WHEN regexp_matches(m, '^(?:{_KNOWN})') THEN {base} ELSE {IBAN_OTHER} END" if kind == "iban" else str(base)
+        score = f"{alone} + CASE WHEN regexp_matches(near, '{_word(more)}') THEN {STEP} ELSE 0 END - CASE WHEN regexp_matches(near, '{_word(less)}') THEN {STEP} ELSE 0 END"
         parts.append(
-            f"""SELECT {n} AS k, '{kind}' AS kind, rid, m, start FROM (
-  SELECT rid, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i: CAST(list_sum(list_transform(gs[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0) AS BIGINT))) AS start
-  FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM d)
-) x, LATERAL (SELECT {digits} AS d) y WHERE {valid[kind]}"""
+            f"""SELECT * FROM (SELECT {n} AS k, '{kind}' AS kind, rid, m, start, {score} AS score FROM (
+  SELECT rid, m, start, lower(substr(t, CAST(greatest(1, start - {CONTEXT - 1}) AS BIGINT), CAST(least(start, {CONTEXT}) AS BIGINT))) AS near FROM (
+    SELECT rid, t, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i: CAST(list_sum(list_transform(gs[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0) AS BIGINT))) AS start
+    FROM (SELECT rid, t, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM d)
+  )
+) x, LATERAL (SELECT {digits} AS d) y WHERE {valid[kind]}){f" WHERE score >= {LEAST}" if kind in ADDED else ""}"""
         )
     union = "\nUNION ALL\n".join(parts)
-    counts = ", ".join(f"CAST(count(*) FILTER (WHERE kind = '{k}') AS BIGINT) AS n_{k}" for k in BASE)
-    names = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)
+    counts = ", ".join(f"CAST(count(*) FILTER (WHERE kind = '{k}') AS BIGINT) AS n_{k}" for k in KINDS)
+    names = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)
+    said = "kind || ':' || start || ':' || (start + len(m))"
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 s AS ({union}),
-g AS (SELECT rid, {counts}, string_agg(kind || ':' || start || ':' || (start + len(m)), ',' ORDER BY k, start) AS spans FROM s GROUP BY rid)
-SELECT doc_id, {names}, CAST(0 AS BIGINT) AS n_iban, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)"""
+g AS (SELECT rid, {counts}, string_agg({said}, ',' ORDER BY k, start) AS spans, string_agg({said}, ',' ORDER BY k, start) FILTER (WHERE k < 4) AS base, string_agg(CAST(score AS VARCHAR), ',' ORDER BY k, start) AS scores FROM s GROUP BY rid)
+SELECT doc_id, {names}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN g USING (rid)"""
 
 
-#: Without IBANs: for tables that hold none.
 OP10_SQL = _sql()
