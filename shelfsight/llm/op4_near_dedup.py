@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, saved, small_batches
+from .shared import components, saved, small_batches, spare
 from .words import Words, mix, ngram_hashes, slices, words_of
 
 BANDS, ROWS = 32, 5
@@ -258,15 +258,17 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     an id is a document of its own, compared by a number beyond all ids.
     """
     least, most = docs.agg(F.coalesce(F.min(F.col("doc_id").cast("long")), F.lit(0)), F.coalesce(F.max(F.col("doc_id").cast("long")), F.lit(0))).first()
-    row = F.monotonically_increasing_id()
-    beyond = F.lit(most + 1) + row if most < 1 << 62 else F.lit(least - 1) - row
-    numbered = docs.withColumn("_hash", F.xxhash64(*docs.columns)).withColumn("_text", F.sha2(F.col("text").cast("string"), 256)).withColumn("_row", row)
-    numbered = saved(numbered.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), beyond)))
-    kept = near_duplicates(numbered.select(F.col("_id").alias("doc_id"), "text"), shingle, similarity).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = numbered.select("_id", "_text", "_hash", "_row").join(kept, "_id", "left_semi")
+    own = spare(docs.columns, "_near")
+    mark, body, row, key = (f"{own}_{x}" for x in ("hash", "text", "row", "id"))
+    number = F.monotonically_increasing_id()
+    beyond = F.lit(most + 1) + number if most < 1 << 62 else F.lit(least - 1) - number
+    numbered = docs.withColumn(mark, F.xxhash64(*docs.columns)).withColumn(body, F.sha2(F.col("text").cast("string"), 256)).withColumn(row, number)
+    numbered = saved(numbered.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), beyond)))
+    kept = near_duplicates(numbered.select(F.col(key).alias("doc_id"), "text"), shingle, similarity).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    rows = numbered.select(key, body, mark, row).join(kept, key, "left_semi")
     if not copies:
-        rows = rows.groupBy("_id", "_text").agg(F.min_by("_row", F.struct("_hash", "_row")).alias("_row"))
-    return numbered.join(rows.select("_row"), "_row", "left_semi").select(docs.columns)
+        rows = rows.groupBy(key, body).agg(F.min_by(row, F.struct(mark, row)).alias(row))
+    return numbered.join(rows.select(row), row, "left_semi").select(docs.columns)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

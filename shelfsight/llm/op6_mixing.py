@@ -7,7 +7,8 @@ in the order of their cap per weight. A source's documents are then repeated: al
 them floor(target / size) times, and one further time as many of them, in a seeded
 order, as fill the rest; the document at the boundary is taken in part, so that a
 source's taken words are its target rounded. The boundary is found from sums over
-4096 hash buckets of each source, so no source is gathered or sorted as a whole.
+4096 hash buckets of each source, so no source is gathered or sorted as a whole; nor are
+the sources themselves, whose order and running sums come from a sort over all machines.
 
 Rows: a null text has no words and takes none. A null source is a source of its own,
 ordered last. Rows with one doc_id are separate documents (which of them stand at the
@@ -22,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, saved, word_count
+from .shared import WORD, numbered, running, saved, spare, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2, 17
@@ -30,19 +31,16 @@ SHARE, CAP, SEED = 1.5, 2, 17
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, cap: int) -> DataFrame:
     """source, source_size, target for sizes (source, source_size); one row for each source."""
-    # one row a source: windows over all of them see the sources, not the documents
-    ranked = sizes.withColumn("nth", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("nth") - 1) % len(weights) + 1)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("nth") - 1) % len(weights) + 1).cast("int"))
     limit = F.col("source_size") * F.lit(float(cap))
-    rows = ranked.withColumn("weight", weight).withColumn("limit", limit).withColumn("ratio", limit / weight)
-    everyone = Window.partitionBy(F.lit(0))
-    before = everyone.orderBy("ratio", "nth").rowsBetween(Window.unboundedPreceding, -1)
-    after = everyone.orderBy("ratio", "nth").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everyone) * F.lit(share) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    rows = rows.withColumn("level", level)
-    water = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everyone)
-    target = F.least(F.col("limit"), F.coalesce(water * F.col("weight"), F.col("limit")))
-    return rows.select("source", "source_size", target.alias("target"))
+    rows = numbered(sizes, [F.col("source").asc_nulls_last()], "nth").withColumn("weight", weight).withColumn("limit", limit).withColumn("ratio", limit / weight)
+    rows = running(rows, ["ratio", "nth"], {"limit": "limit_before", "weight": "weight_before"})
+    total = saved(rows.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight")))
+    level = (F.col("all_size") * F.lit(share) - F.col("limit_before")) / (F.col("all_weight") - F.col("weight_before"))
+    rows = saved(rows.crossJoin(F.broadcast(total)).withColumn("level", level).drop("all_size", "all_weight"))
+    water = rows.where(F.col("level") <= F.col("ratio")).agg(F.max("level").alias("water"))  # one row
+    target = F.least(F.col("limit"), F.coalesce(F.col("water") * F.col("weight"), F.col("limit")))
+    return rows.crossJoin(F.broadcast(water)).select("source", "source_size", target.alias("target"))
 
 
 def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED, also: Sequence[str] = ()) -> DataFrame:
@@ -71,17 +69,17 @@ def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SH
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """The mix itself, columns as they are: each document once for each repetition, the last one cut to the words it takes.
 
-    A cut text keeps its first words and what stands between them. Each row keeps its own number of words,
+    Columns may have any names. A cut text keeps its first words and what stands between them. Each row keeps its own number of words,
     also where rows share a doc_id or have none; of such rows of one size a hash of the row settles who is cut.
     """
-    numbered = saved(docs.withColumn("_hash", F.xxhash64(*docs.columns)).withColumn("_row", F.monotonically_increasing_id()))
-    taken = mixture(numbered, weights, share, cap, seed, ["_hash", "_row"]).where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    rows = numbered.join(taken, "_row")
-    times = rows.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
-    left = F.least(F.col("_size"), F.col("_taken") - (F.col("_time") - 1) * F.col("_size"))
-    times = times.withColumn("_left", left)
-    whole = F.col("_left") == F.col("_size")
-    text = F.when(whole, F.col("text")).otherwise(first_words(F.col("text"), F.col("_left")))
+    own = spare(docs.columns, "_mix")
+    mark, row, size, took, time, left = (f"{own}_{x}" for x in ("hash", "row", "size", "taken", "time", "left"))
+    known = saved(docs.withColumn(mark, F.xxhash64(*docs.columns)).withColumn(row, F.monotonically_increasing_id()))
+    taken = mixture(known, weights, share, cap, seed, [mark, row]).where("taken > 0").select(row, F.col("size").alias(size), F.col("taken").alias(took))
+    times = known.join(taken, row).withColumn(time, F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col(took) / F.col(size)))))
+    times = times.withColumn(left, F.least(F.col(size), F.col(took) - (F.col(time) - 1) * F.col(size)))
+    whole = F.col(left) == F.col(size)
+    text = F.when(whole, F.col("text")).otherwise(first_words(F.col("text"), F.col(left)))
     out = {c: F.col(c) for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
