@@ -4,14 +4,20 @@ Method. A page's block elements make a tree of labels (tag, class or id) in whic
 siblings are one node. The commonest tree of a host is its wrapper; each page's tree is
 aligned with it by simple tree matching (the largest order-preserving match of equal
 tags), so that every text block falls into a slot of the wrapper. Over all pages of the
-host, texts that stand constant in a slot are template and what varies is content.
-Menus and adverts vary too, so slots are also judged by what they are: elements and
-classes that never hold an article (nav, footer, aside, form, advert, comments, ...), and
-slots whose text is mostly links. Where a page has an article or main element, content
-is what it holds.
+host, what stands constant in a slot is template and what varies is content:
 
-A text is constant if it stands in a slot on CONSTANT of the host's pages or more (and
-on LEAST pages or more), on pages of more than one content.
+- A text is constant if it stands in a slot on CONSTANT of the pages that have the slot (and
+  on LEAST pages at least), on pages of more than one content.
+- A slot is linked if LINKS of its text is inside links; blocks of it that are so too are menus.
+- The content region is found from the varying text outside links that each slot holds: from
+  the root down, into the child that holds DOMINANT of it, as long as that child is no
+  mere paragraph and no heading stands before it (a heading belongs to what follows).
+
+Content is what varies inside the region. Names only help where structure doesn't tell: blocks in elements
+and classes that never hold an article (nav, footer, aside, form, advert, comments, ...) have
+no weight in finding the region, unless there is nothing else, and are left out inside it;
+an article or main element is entered where no child dominates. A page without
+the host's region (another layout) has its region found from its own text.
 
 Rows: a null or empty page has an empty text; so has one without content. A null url
 belongs to a host of its own. Repeated rows return as often as they come. Truncated and
@@ -23,9 +29,10 @@ from __future__ import annotations
 import html
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import pyarrow as pa
 import xxhash
@@ -34,8 +41,8 @@ from pyspark.sql import functions as F
 
 from .shared import saved, small_batches
 
-CONSTANT, LEAST = 0.6, 8
-LINKS = 0.6
+CONSTANT, LEAST = 0.6, 3
+LINKS, DOMINANT = 0.6, 0.6
 
 BLOCKS = frozenset(
     "html head title body p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre section article header footer main aside nav form fieldset "
@@ -50,6 +57,7 @@ ENDS_P = BLOCKS - {"html", "head", "title", "body", "td", "th", "tr", "thead", "
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 NEVER = frozenset("head title nav footer aside form script style noscript template iframe object select textarea button menu dialog search svg math canvas noembed noframes xmp".split())
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BAD = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscribe|subscription|"
     r"signup|login|share|sharing|social|related|recommend\w*|comments?|replies|reply|respond|responses|discussion|disqus|footer|masthead|topbar|toolbar|popup|modal|overlay|widget|pagination|pager|toc|tags|skip)(?:$|[\s_-])",
@@ -254,110 +262,198 @@ def match_trees(one: str, other: str) -> tuple[int, ...]:
     return tuple(out)
 
 
-def _numbered(page: Page) -> dict[int, int]:
-    """A node's place in the written tree."""
-    out, todo = {}, [page.tree]
+@dataclass
+class Block:
+    place: int  # of its node in the written tree
+    said: str
+    links: int
+    bad: bool
+
+
+def read_page(source: str, names: bool = True) -> tuple[str, list[Block]]:
+    """A page's written tree and its text blocks; without `names` no block counts as bad for its element or class."""
+    page = parse(source)
+    place, todo = {}, [page.tree]
     while todo:
         node = todo.pop()
-        out[node.number] = len(out)
+        place[node.number] = len(place)
         todo += reversed(node.children.values())
-    return out
-
-
-def _written(page: Page) -> str:
-    return page.tree.written()
+    return page.tree.written(), [Block(place[n], said, min(links, len(said)), names and page.nodes[n].bad) for n, said, links in page.blocks]
 
 
 def _key(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def _slots(page: Page, wrapper: str | None) -> list[int]:
-    """The wrapper's slot of each block; blocks of unmatched nodes count as slots of their own label."""
-    place = _numbered(page)
-    aligned = match_trees(_written(page), wrapper) if wrapper else ()
-    out = []
-    for node, _, _ in page.blocks:
-        at = aligned[place[node]] if aligned else -1
-        out.append(at if at >= 0 else -1 - (_key(page.nodes[node].label) & 0xFFFF))
-    return out
-
-
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@lru_cache(maxsize=4096)
+def _paths(written: str) -> tuple[int, ...]:
+    """Below 0: a number for the path of labels to each node."""
+    tree = _read_tree(written)
+    out = [0] * len(tree)
+    if tree:
+        out[0] = _key(tree[0][0])
+    for i, (_, children) in enumerate(tree):
+        for c in children:
+            out[c] = _key(f"{out[i]}/{tree[c][0]}")
+    return tuple(-1 - (x & (1 << 62) - 1) for x in out)
+
+
+def _slots(written: str, wrapper: str | None) -> tuple[int, ...]:
+    """The wrapper's slot of each node; nodes that it doesn't have count as slots of their own path."""
+    aligned = match_trees(written, wrapper) if wrapper else ()
+    return tuple(a if a >= 0 else p for a, p in zip(aligned, _paths(written))) if aligned else _paths(written)
+
+
+def find_region(written: str, good: dict[int, int], every: dict[int, int]) -> int:
+    """The node that holds the content, from the varying characters of each node: of good blocks if there are any, else of all."""
+    tree = _read_tree(written)
+    own = [max(0, (good if any(good.values()) else every).get(i, 0)) for i in range(len(tree))]
+    total = own.copy()
+    above = [0] * len(tree)
+    for i, (_, children) in enumerate(tree):
+        for c in children:
+            above[c] = i
+    for i in range(len(tree) - 1, 0, -1):
+        total[above[i]] += total[i]
+    at = 0
+    while at < len(tree) and total[at]:
+        children = [c for c in tree[at][1] if total[c]]
+        if not children:
+            break
+        tag = lambda c: tree[c][0].partition(".")[0]
+        best = max(children, key=lambda c: total[c])
+        if total[best] < DOMINANT * total[at]:
+            best = next((c for c in children if tag(c) in MAIN), -1)
+        heads = any(c < best and tag(c) in HEADINGS for c in children)
+        if best < 0 or heads or own[best] * 2 >= total[best] and tag(best) not in MAIN:
+            break
+        at = best
+    return at
+
+
+def _inside(written: str, region: int, aligned: tuple[int, ...], wrapper: str | None) -> tuple[int, int] | None:
+    """The page's nodes that the wrapper's region holds, as a range of places; None if the page hasn't got it."""
+    if not wrapper or region not in aligned:
+        return None
+    at = aligned.index(region)
+    tree = _read_tree(written)
+    if tree[at][0] != _read_tree(wrapper)[region][0]:
+        return None
+    end = at
+    while tree[end][1]:
+        end = tree[end][1][-1]
+    return at, end
+
+
+def main_text(written: str, blocks: list[Block], wrapper: str | None, region: int, constant: set[tuple[int, int]], linked: set[int]) -> str:
+    slots = _slots(written, wrapper)
+    varying = [(slots[b.place], _key(b.said)) not in constant for b in blocks]
+    bounds = _inside(written, region, match_trees(written, wrapper) if wrapper else (), wrapper)
+    if bounds is None:
+        good, every = Counter(), Counter()
+        for b, new in zip(blocks, varying):
+            if new:
+                every[b.place] += len(b.said) - b.links
+                good[b.place] += (len(b.said) - b.links) * (not b.bad)
+        at = find_region(written, good, every)
+        bounds = _inside(written, at, tuple(range(len(slots))), written)
+    low, high = bounds or (0, -1)
+    menu = lambda b: slots[b.place] in linked and b.links >= LINKS * len(b.said)
+    return "\n\n".join(b.said for b, new in zip(blocks, varying) if new and low <= b.place <= high and not b.bad and not menu(b))
+
+
+_PARSED = "host string, tree string, places array<int>, keys array<long>, chars array<int>, links array<int>, bad array<boolean>"
+
+
+def _parsed(batches: Iterator[pa.RecordBatch], names: bool) -> Iterator[pa.RecordBatch]:
+    """Each page's tree and what its blocks are like, without their texts."""
+    types = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
     for batch in batches:
-        trees = [_written(parse(x.as_py())) if x.is_valid else None for x in batch.column("html")]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(trees, pa.string())], ["host", "wrapper"])
+        some = batch.filter(batch.column("html").is_valid())
+        out = []
+        for source in some.column("html"):
+            tree, blocks = read_page(source.as_py(), names)
+            out.append((tree, [b.place for b in blocks], [_key(b.said) for b in blocks], [len(b.said) for b in blocks], [b.links for b in blocks], [b.bad for b in blocks]))
+        if out:
+            yield pa.RecordBatch.from_arrays([some.column("host"), *[pa.array(c, t) for c, t in zip(zip(*out), types)]], [x.split()[0] for x in _PARSED.split(", ")])
 
 
-_SEEN = "host string, slot int, text_key long, page_key long, chars long, links long"
+_SEEN = "host string, slot long, text_key long, page_key long, chars long, links long, good long"
+#: Stands for a page that has a slot, whatever its text.
+_ANY = (1 << 63) - 1
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text once a page and slot; slots that can't hold content are left out."""
+    """Each text once a page and slot, and each slot once a page."""
+    types = [pa.string(), *[pa.int64()] * 6]
     for batch in batches:
         out: list[tuple] = []
-        for host, wrapper, source in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist(), batch.column("html")):
-            if not source.is_valid:
-                continue
-            page = parse(source.as_py())
-            blocks = [(s, *b) for s, b in zip(_slots(page, wrapper), page.blocks) if not page.nodes[b[0]].bad]
-            page_key = _key("\n".join(b[2] for b in blocks))
+        for r in batch.to_pylist():
+            slots = _slots(r["tree"], r["wrapper"])
+            page_key = _key(repr(r["keys"]))
             found: dict[tuple[int, int], list[int]] = {}
-            for slot, _, said, links in blocks:
-                sums = found.setdefault((slot, _key(said)), [0, 0])
-                sums[0] += len(said)
-                sums[1] += min(links, len(said))
-            out += [(host, slot, key, page_key, *sums) for (slot, key), sums in found.items()]
-        types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            for place, key, chars, links, bad in zip(r["places"], r["keys"], r["chars"], r["links"], r["bad"]):
+                found.setdefault((slots[place], _ANY), [0, 0, 0])
+                sums = found.setdefault((slots[place], key), [0, 0, 0])
+                sums[0] += chars
+                sums[1] += links
+                sums[2] += 0 if bad else chars - links
+            out += [(r["host"], slot, key, page_key, *sums) for (slot, key), sums in found.items()]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in _SEEN.split(", ")])
 
 
-def main_text(page: Page, slots: list[int], constant: set[tuple[int, int]], linked: set[int]) -> str:
-    inside = any(page.nodes[n].main and not page.nodes[n].bad for n, _, _ in page.blocks)
-    kept = []
-    for slot, (node, said, _) in zip(slots, page.blocks):
-        at = page.nodes[node]
-        if not at.bad and (at.main or not inside) and slot not in linked and (slot, _key(said)) not in constant:
-            kept.append(said)
-    return "\n\n".join(kept)
+_RULES = "host string, wrapper string, region int, constant array<struct<slot:long,text_key:long>>, linked array<long>"
 
 
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The region of each host's wrapper."""
+    for batch in batches:
+        found = []
+        for wrapper, sums in zip(batch.column("wrapper").to_pylist(), batch.column("sums").to_pylist()):
+            slots = [x for x in sums or () if x["slot"] >= 0]
+            found.append(find_region(wrapper, {x["slot"]: x["good"] for x in slots}, {x["slot"]: x["plain"] for x in slots}))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("wrapper"), pa.array(found, pa.int32()), batch.column("constant"), batch.column("linked")], ["host", "wrapper", "region", "constant", "linked"])
+
+
+def _extracted(batches: Iterator[pa.RecordBatch], names: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        rows = zip(batch.column("html"), batch.column("wrapper").to_pylist(), batch.column("constant").to_pylist(), batch.column("linked").to_pylist())
-        for source, wrapper, constant, linked in rows:
-            if not source.is_valid:
-                texts.append("")
-                continue
-            page = parse(source.as_py())
-            texts.append(main_text(page, _slots(page, wrapper), {(x["slot"], x["text_key"]) for x in constant or ()}, set(linked or ())))
+        rows = zip(batch.column("html"), *[batch.column(c).to_pylist() for c in ("wrapper", "region", "constant", "linked")])
+        for source, wrapper, region, constant, linked in rows:
+            page = read_page(source.as_py() or "", names)
+            texts.append(main_text(*page, wrapper, -1 if region is None else region, {(x["slot"], x["text_key"]) for x in constant or ()}, set(linked or ())))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of each row of pages (page_id, url, html)."""
+def extract(pages: DataFrame, names: bool = True, wrapper: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars of each row of pages (page_id, url, html).
+
+    For comparisons: without `names` no element's or class's name counts against a block; without `wrapper`
+    pages are read each for itself.
+    """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     plain = small_batches(pages).select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    trees = plain.select("host", "html").mapInArrow(_trees, "host string, wrapper string").where("wrapper is not null")
-    counted = trees.groupBy("host", "wrapper").agg(F.count("*").alias("n"))
-    wrappers = saved(counted.groupBy("host").agg(F.max_by("wrapper", F.struct("n", "wrapper")).alias("wrapper"), F.sum("n").alias("pages")))
+    parsed = saved(plain.select("host", "html").mapInArrow(partial(_parsed, names=names), _PARSED))
+    counted = parsed.groupBy("host", "tree").agg(F.count("*").alias("n"))
+    wrappers = saved(counted.groupBy("host").agg(F.max_by("tree", F.struct("n", "tree")).alias("wrapper")).where(F.lit(wrapper)))
 
     # one row a host: Spark broadcasts them where they are few and shuffles by host (splitting a hot one) where they aren't
-    seen = plain.select("host", "html").join(wrappers.select("host", "wrapper"), "host").mapInArrow(_seen, _SEEN)
-    texts = seen.groupBy("host", "slot", "text_key").agg(F.count("*").alias("n"), F.min("page_key").alias("a"), F.max("page_key").alias("b"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    texts = saved(texts)
-    often = texts.where((F.col("n") >= LEAST) & (F.col("a") != F.col("b"))).join(wrappers.select("host", "pages"), "host").where(F.col("n") >= CONSTANT * F.col("pages"))
+    seen = parsed.join(wrappers, "host").mapInArrow(_seen, _SEEN)
+    texts = saved(seen.groupBy("host", "slot", "text_key").agg(F.count("*").alias("n"), F.min("page_key").alias("a"), F.max("page_key").alias("b"), *[F.sum(c).alias(c) for c in ("chars", "links", "good")]))
+    having = texts.where(F.col("text_key") == _ANY).select("host", "slot", F.col("n").alias("pages"))
+    often = texts.where((F.col("text_key") != _ANY) & (F.col("n") >= LEAST) & (F.col("a") != F.col("b"))).join(having, ["host", "slot"])
+    often = saved(often.where(F.col("n") >= CONSTANT * F.col("pages")).select("host", "slot", "text_key", "chars", "links", "good"))
     constant = often.groupBy("host").agg(F.collect_list(F.struct("slot", "text_key")).alias("constant"))
-    sums = texts.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    linked = sums.where(F.col("links") >= LINKS * F.col("chars")).groupBy("host").agg(F.collect_list("slot").alias("linked"))
-    rules = saved(wrappers.select("host", "wrapper").join(constant, "host", "left").join(linked, "host", "left"))
-    return plain.join(rules, "host", "left").select("page_id", "url", "html", "wrapper", "constant", "linked").mapInArrow(_extracted, _output(plain))
-
-
-def _output(plain: DataFrame) -> str:
-    return f"page_id {plain.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
+    sums = texts.groupBy("host", "slot").agg(*[F.sum(c).alias(c) for c in ("chars", "links", "good")])
+    linked = sums.where((F.col("links") >= LINKS * F.col("chars")) & (F.col("chars") > 0)).groupBy("host").agg(F.collect_list("slot").alias("linked"))
+    gone = often.select("host", "slot", *[(-F.col(c)).alias(c) for c in ("chars", "links", "good")])
+    varying = sums.unionByName(gone).where("slot >= 0").groupBy("host", "slot").agg(*[F.sum(c).alias(c) for c in ("chars", "links", "good")])  # as many a host as its wrapper has nodes
+    varying = varying.groupBy("host").agg(F.collect_list(F.struct("slot", (F.col("chars") - F.col("links")).alias("plain"), "good")).alias("sums"))
+    rules = wrappers.join(varying, "host", "left").join(constant, "host", "left").join(linked, "host", "left")
+    rules = saved(rules.select("host", "wrapper", "sums", "constant", "linked").mapInArrow(_regions, _RULES))
+    kind = f"page_id {plain.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
+    return plain.join(rules, "host", "left").select("page_id", "url", "html", "wrapper", "region", "constant", "linked").mapInArrow(partial(_extracted, names=names), kind)
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,6 +182,52 @@ def test_html(spark):
     assert op2_html.extract(table.limit(0)).collect() == []
 
 
+def neutral_pages():
+    """Pages without article elements and with names that say nothing; want by page."""
+    rows, want = [], {}
+
+    def add(i, host, body, parts):
+        rows.append((i, f"https://{host}/{i}", page(body)))
+        want[i] = "\n\n".join(parts)
+
+    for i in range(12):  # content beside a menu, a varying box and a constant box
+        parts = [f"Head {i}", *[f"{prose(30, 900)} {i}." for _ in range(1 + i % 4)]]
+        menu = "".join(f'<li><a href="/{k}">{prose(2, 900)}</a></li>' for k in range(6))
+        add(i, "a.example", f'<div class="xa"><ul>{menu}</ul></div><div class="xb"><p>{prose(4, 900)}</p></div><div class="xc"><h2>{parts[0]}</h2>{"".join(f"<p>{x}</p>" for x in parts[1:])}<p>Always said here.</p></div><div class="xd">constant {"word " * 30}</div>', parts)
+    for i in range(20, 23):  # a host of three pages: what all of them say goes
+        parts = [f"{prose(25, 900)} {i}.", f"{prose(25, 900)}!"]
+        add(i, "b.example", f'<div id="qa">{prose(3, 900)}</div><div id="qb"><p>{parts[0]}</p><p>We say this on every page.</p><p>{parts[1]}</p></div>', parts)
+    for i in range(30, 42):  # two layouts of one host, each with a template of its own
+        parts = [f"{prose(25, 900)} {i}.", f"{prose(25, 900)}?"]
+        inner = f"<p>{parts[0]}</p><p>{parts[1]}</p>"
+        body = f'<div class="ka"><div class="kb">{inner}<p>Left layout.</p></div></div><div class="kc">{prose(3, 900)}</div>' if i % 2 else f'<section class="ma"><div class="mb">{inner}<p>Right layout.</p></div></section><div class="mc">{prose(3, 900)}</div>'
+        add(i, "c.example", body, parts)
+    parts = [f"{prose(40, 900)}.", f'{prose(30, 900)} "quoted".']
+    add(50, "d.example", f'<div class="za"><a href="/">{prose(3, 900)}</a></div><div class="zb"><p>{parts[0]}</p><p>{parts[1]}</p></div><div class="zc">{prose(4, 900)}</div>', parts)
+    return rows, want
+
+
+def test_html_by_structure_alone(spark):
+    rows, want = neutral_pages()
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for names in (True, False):
+        assert {r.page_id: r.text for r in op2_html.extract(table, names=names).collect()} == want
+    alone = {r.page_id: r.text for r in op2_html.extract(table, wrapper=False).collect()}
+    changed = {i for i in want if alone[i] != want[i]}
+    assert changed == set(want) - {50}  # what stands constant is only seen over the pages of a host
+
+
+def test_region():
+    tree = "(html(body(div.a;div.b(h1;p;div.c(p;))div.d;)))"
+    place = {label: i for i, (label, _) in enumerate(op2_html._read_tree(tree))}
+    weigh = lambda **n: {place[k.replace("_", ".")]: v for k, v in n.items()}
+    region = lambda good, every=None: op2_html._read_tree(tree)[op2_html.find_region(tree, good, every or good)][0]
+    assert region(weigh(div_a=5, h1=2, div_b=0) | {6: 90}) == "div.b"
+    assert region(weigh(div_a=50, h1=2) | {6: 40}) == "body"
+    assert region({}, weigh(div_a=5) | {8: 90}) == "div.c"
+    assert op2_html.find_region("", {}, {}) == 0
+
+
 def test_tree_matching_keeps_order():
     assert op2_html.match_trees("body(div;p;)", "body(nav;div;p;)") == (0, 2, 3)
     assert op2_html.match_trees("a;", "b;") == (-1,)
