@@ -11,16 +11,17 @@ them, and meet only what can match there:
    k-grams. Equal windows have equal anchors, as far from their starts. Neighbouring
    windows with an anchor at one place are a run, so that no run holds a window twice;
    a document has some eight runs in a hundred words, and only their hashes move.
-2. Anchors that occur once hold no repeated window. Runs of one anchor that are
-   equal throughout are repeated as a whole and are counted, never gathered.
-3. What is left are anchors under which different runs meet (the ends of shared
-   passages, for the most part). One text of each such run goes to its shard, whose
-   suffix automaton, with the number of places of each state, gives each run's
-   matching statistics: windows that the automaton has at two places or more go.
+2. Anchors that occur once hold no repeated window. Under the others, equal runs (told
+   apart by 128 bits, those of anchor and run) are one, with the number of its places.
+3. One text of each different run goes to its anchor's shard, whose suffix automaton,
+   with the number of places of each state, gives each run's matching statistics: windows
+   that the automaton has at two places or more go, at all places of the run.
    An anchor with over HOT different runs is not gathered: its windows are compared
    one by one as 128-bit keys in an ordinary aggregation.
 
-Broadcast is not used: a reference as large as the corpus has no size bound.
+Broadcast is not used: a reference as large as the corpus has no size bound. A run with more
+than a thousandth of all places (so one of a thousand at most) meets its places by a
+broadcast of such runs, so that no task gets them all.
 
 Rows: null texts have no words (n_words 0, the hash of nothing); texts shorter than a
 window lose nothing. Fully repeated rows are copies of each other. Rows with one
@@ -47,7 +48,10 @@ from .words import WORD_BASE, mix, ngram_hashes, powers, slices, words_of
 SIZE = 35
 #: Words of an anchor's k-gram.
 GRAM = 12
-HOT = 64
+#: Different runs of an anchor that are gathered at most (some 100 MB as an automaton).
+HOT = 2048
+#: A run with more than one in so many of all places is a heavy one.
+HEAVY = 1000
 #: Runs in a shard, about.
 SHARD = 1000
 _NO_ID = -(1 << 63)
@@ -196,8 +200,11 @@ def _run_texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], names)
 
 
+_GONE = "anchor long, run long, n long, id long, text_key long, first int, windows int"
+
+
 def _shard(group: pd.DataFrame, size: int) -> pd.DataFrame:
-    """Repeated windows of the runs that occur once, as spans of their documents."""
+    """Repeated windows of each run, as spans from the run's start."""
     group = group.drop_duplicates(["anchor", "run"])
     number: dict[str, int] = {}
     texts = [[number.setdefault(w, len(number)) for w in text.split(" ")] for text in group["words"]]
@@ -205,11 +212,11 @@ def _shard(group: pd.DataFrame, size: int) -> pd.DataFrame:
     for mark, (words, n) in enumerate(zip(texts, group["n"])):
         automaton.add_text(words, int(n), ~mark)
     automaton.count()
+    columns = ["anchor", "run", "n", "id", "text_key", "first"]
     out = []
-    for words, n, at, key, first in zip(texts, group["n"], group["id"], group["text_key"], group["first"]):
-        if n == 1:
-            out += [(at, key, first + a, k) for a, k in _spans(automaton.repeated(words, size))]
-    return pd.DataFrame(out, columns=["id", "text_key", "first", "windows"])
+    for words, row in zip(texts, group[columns].itertuples(index=False, name=None)):
+        out += [(*row[:-1], row[-1] + a if row[2] == 1 else a, k) for a, k in _spans(automaton.repeated(words, size))]
+    return pd.DataFrame(out, columns=[*columns, "windows"])
 
 
 def _without(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -241,23 +248,32 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int
     held = saved(runs.join(often, "anchor"))
     place = F.struct("id", "text_key", "first", "windows")
     kinds = saved(held.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(place).alias("at")))
-    mixed = saved(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    count = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    kinds = saved(kinds.join(count, "anchor").select("anchor", "run", "n", "at.*", (F.col("kinds") > hot).alias("hot")))
 
-    whole = held.join(saved(kinds.where("n > 1").select("anchor", "run")), ["anchor", "run"]).select("id", "text_key", "first", "windows")
-
-    asked = kinds.join(mixed, "anchor").select("anchor", "run", "n", "at.*", (F.col("kinds") > hot).alias("hot"))
-    asked = asked.groupBy("id", "text_key").agg(F.collect_list(F.struct("anchor", "run", "n", "text_key", "first", "windows", "hot")).alias("wanted"))
+    asked = kinds.groupBy("id", "text_key").agg(F.collect_list(F.struct("anchor", "run", "n", "text_key", "first", "windows", "hot")).alias("wanted"))
     packed = plain.mapInArrow(_packed, "id long, text_key long, packed binary")
     texts = saved(packed.join(asked, ["id", "text_key"]).mapInArrow(partial(_run_texts, size=size), _TEXTS))
-    shards = max(1, texts.where("words is not null").count() // shard)
-    some = texts.where("words is not null").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    parts = some.groupBy("shard").applyInPandas(partial(_shard, size=size), "id long, text_key long, first int, windows int")
+    some = texts.where("words is not null")
+    shards = max(1, some.count() // shard)
+    parts = saved(some.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(partial(_shard, size=size), _GONE))
 
+    # hot anchors: runs at several places go as a whole, the others by their windows
     single = texts.where("key is not null").dropDuplicates(["anchor", "run", "first", "id", "text_key"])
     twice = saved(single.groupBy("key").agg(F.sum("n").alias("places")).where("places > 1").select("key"))
     alone = single.where("n = 1").join(twice, "key").select("id", "text_key", "first", F.lit(1).alias("windows"))
-
-    gone = whole.unionByName(parts).unionByName(alone)
+    wide = kinds.where("hot and n > 1").select("anchor", "run", "n", F.lit(0).alias("first"), "windows")
+
+    # windows from a run's start, at all of its places
+    known = saved(parts.where("n > 1").select("anchor", "run", "n", "first", "windows").unionByName(wide).withColumnsRenamed({"first": "from", "windows": "many"}))
+    places = held.select("anchor", "run", "id", "text_key", "first")
+    total = held.count()
+    heavy = F.col("n") * HEAVY > total
+    few = F.broadcast(known.where(heavy))  # at most HEAVY runs
+    rest = places.join(F.broadcast(kinds.where(heavy).select("anchor", "run")), ["anchor", "run"], "left_anti").join(known.where(~heavy), ["anchor", "run"])
+    every = places.join(few, ["anchor", "run"]).unionByName(rest).select("id", "text_key", (F.col("first") + F.col("from")).alias("first"), F.col("many").alias("windows"))
+
+    gone = every.unionByName(parts.where("n = 1").select("id", "text_key", "first", "windows")).unionByName(alone)
     spans = gone.groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
     return packed.join(spans, ["id", "text_key"], "left").mapInArrow(partial(_without, size=size), "doc_id long, n_words long, n_removed long, kept string")
 
@@ -265,3 +281,15 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+#: In SQL: words go where a window of theirs starts at two places or more.
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT rid, i, md5(array_to_string(w[i:i + {SIZE - 1}], ' ')) AS key FROM (SELECT rid, w, unnest(range(1, len(w) - {SIZE - 2})) AS i FROM d)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY key) AS n FROM p) WHERE n > 1),
+g AS (SELECT DISTINCT rid, i + k AS j FROM r, range({SIZE}) t(k)),
+k AS (SELECT d.rid, any_value(d.doc_id) AS doc_id, count(*) FILTER (WHERE x.j IS NOT NULL) AS n_words, count(g.j) AS n_removed, string_agg(d.w[x.j], ' ' ORDER BY x.j) FILTER (WHERE g.j IS NULL) AS kept
+  FROM d LEFT JOIN (SELECT rid, unnest(range(1, len(w) + 1)) AS j FROM d) x ON x.rid = d.rid LEFT JOIN g ON g.rid = x.rid AND g.j = x.j GROUP BY d.rid)
+SELECT doc_id, n_words, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k
+"""
