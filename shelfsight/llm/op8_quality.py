@@ -8,8 +8,10 @@ line is good, and a document's score is that of its lines weighted by their leng
 put on the scale of the labels by a logistic curve fitted on the same documents.
 
 The fit takes at most TRAIN documents, those with the least hash of their id among the
-labelled ones that may be learned from; everything else is over whole texts of all rows.
-Nothing but the text enters a score.
+labelled ones that may be learned from, and of each at most STRETCH lines in a row, from a
+place that the hash of its features settles: at most TRAIN * STRETCH lines reach the driver,
+however long documents are. Everything else is over whole texts of all rows. Nothing but
+the text enters a score.
 
 Rows: texts without words (null, empty, blank) score the share of good documents in the
 fitted sample. Without labels of both kinds every score is that share (1 if there are
@@ -18,6 +20,7 @@ none). Repeated rows score alike; a null doc_id is scored and is not held out.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -32,6 +35,8 @@ from .words import WORD_BASE, mix, powers, slices, words_of
 
 #: The most labelled documents that a fit takes.
 TRAIN = 4000
+#: The most lines of one of them.
+STRETCH = 64
 THRESHOLD = 0.7
 STEPS, RATE, RIDGE = 250, 0.08, 1e-4
 
@@ -139,33 +144,33 @@ def _beside(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate([x, before, after], axis=1)
 
 
-def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
-    most = a.max(axis=axis, keepdims=True)
-    return np.squeeze(most, axis) + np.log(np.exp(a - most).sum(axis=axis))
-
-
 def marginals(node: np.ndarray, edge: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of each line's states, and expected transitions, by forward-backward over all documents at once."""
+    """Probabilities of each line's two states, and expected transitions, by forward-backward over all documents at once."""
     n = np.diff(first)
     order = np.argsort(-n, kind="stable")
     at, n = first[:-1][order], n[order]
-    forward, backward = node.copy(), np.zeros_like(node)
     most = int(n[0]) if len(n) else 0
     going = [int(np.searchsorted(-n, -t, side="left")) for t in range(most + 1)]  # documents with more than t lines
+    bad, good = np.ascontiguousarray(node[:, 0]), np.ascontiguousarray(node[:, 1])
+    (bb, bg), (gb, gg) = edge
+    f_bad, f_good, b_bad, b_good = bad.copy(), good.copy(), np.zeros_like(bad), np.zeros_like(good)
     for t in range(1, most):
         i = at[: going[t]] + t
-        forward[i] = node[i] + _logsum(forward[i - 1][:, :, None] + edge[None], 1)
+        x, y = f_bad[i - 1], f_good[i - 1]
+        f_bad[i] += np.logaddexp(x + bb, y + gb)
+        f_good[i] += np.logaddexp(x + bg, y + gg)
     for t in range(most - 2, -1, -1):
         i = at[: going[t + 1]] + t
-        backward[i] = _logsum(edge[None] + (node[i + 1] + backward[i + 1])[:, None, :], 2)
-    both = forward + backward
-    p = np.exp(both - _logsum(both, 1)[:, None])
+        x, y = bad[i + 1] + b_bad[i + 1], good[i + 1] + b_good[i + 1]
+        b_bad[i] = np.logaddexp(bb + x, bg + y)
+        b_good[i] = np.logaddexp(gb + x, gg + y)
+    every = np.logaddexp(f_bad + b_bad, f_good + b_good)
+    p = np.exp(np.column_stack([f_bad + b_bad, f_good + b_good]) - every[:, None])
     inner = np.ones(len(node), dtype=bool)
     inner[first[:-1][np.diff(first) > 0]] = False
     i = np.flatnonzero(inner)
-    pairs = forward[i - 1][:, :, None] + edge[None] + (node[i] + backward[i])[:, None, :]
-    pairs = np.exp(pairs - _logsum(pairs.reshape(len(i), 4), 1)[:, None, None]) if len(i) else pairs
-    return p, pairs.sum(axis=0)
+    came, goes = (f_bad[i - 1], f_good[i - 1]), (bad[i] + b_bad[i] - every[i], good[i] + b_good[i] - every[i])
+    return p, np.array([[np.exp(came[a] + edge[a, b] + goes[b]).sum() for b in (0, 1)] for a in (0, 1)])
 
 
 @dataclass
@@ -215,11 +220,12 @@ def fit(lines: Lines, good: np.ndarray) -> Model:
     np.add.at(seen, (y[np.flatnonzero(inner) - 1], y[inner]), 1)
     parameters = np.zeros(design.shape[1] + 4)
     m, v = np.zeros_like(parameters), np.zeros_like(parameters)
+    design = design.astype(np.float32)  # half the memory to pass over at each step
     for step in range(1, STEPS + 1):
         node = np.zeros((len(y), 2))
-        node[:, 1] = design @ parameters[:-4]
+        node[:, 1] = design @ parameters[:-4].astype(np.float32)
         p, pairs = marginals(node, parameters[-4:].reshape(2, 2), lines.first)
-        slope = np.concatenate([design.T @ (y - p[:, 1]), (seen - pairs).ravel()]) / len(y) - RIDGE * parameters
+        slope = np.concatenate([(y - p[:, 1]).astype(np.float32) @ design, (seen - pairs).ravel()]) / len(y) - RIDGE * parameters
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         parameters += RATE * (1 - step / (STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     model.weights, model.edge = parameters[:-4], parameters[-4:].reshape(2, 2)
@@ -242,11 +248,17 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             lines = lines_of(part.column("text"))
-            bytes_of = lambda a, i: a[lines.first[i] : lines.first[i + 1]].tobytes()  # noqa: E731, B023
-            n = part.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("good"), pa.array([bytes_of(lines.features, i) for i in range(n)], pa.binary()), pa.array([bytes_of(lines.length, i) for i in range(n)], pa.binary())], ["doc_id", "good", "features", "length"]
-            )
+            stretches = [_stretch(lines, i) for i in range(part.num_rows)]
+            features, length = ([a[x:y].tobytes() for x, y in stretches] for a in (lines.features, lines.length))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("good"), pa.array(features, pa.binary()), pa.array(length, pa.binary())], ["doc_id", "good", "features", "length"])
+
+
+def _stretch(lines: Lines, i: int) -> tuple[int, int]:
+    """At most STRETCH lines of a document that follow each other."""
+    low, high = int(lines.first[i]), int(lines.first[i + 1])
+    if high - low > STRETCH:
+        low += zlib.crc32(lines.features[low:high].tobytes()) % (high - low - STRETCH + 1)
+    return low, min(high, low + STRETCH)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -266,7 +278,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model:
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = texts.mapInArrow(_described, "doc_id long, good int, features binary, length binary").dropDuplicates(["doc_id"]).collect()  # at most `most` documents
+    rows = texts.mapInArrow(_described, "doc_id long, good int, features binary, length binary").dropDuplicates(["doc_id"]).collect()  # at most `most` documents of STRETCH lines
     rows.sort(key=lambda r: r["doc_id"])
     width = lines_of(pa.array(["a"])).features.shape[1]
     features = [np.frombuffer(r["features"], dtype=np.float32).reshape(-1, width) for r in rows]
