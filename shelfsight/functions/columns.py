@@ -14,11 +14,12 @@ def digits(x: Column) -> Column:
 
 
 def gtin_valid(x: Column) -> Column:
-    """Whole digits of a known length whose check digit holds (weights 3 and 1 from the right)."""
-    n = F.length(x)
-    add = lambda total, i: total + F.substr(x, n - i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 3).otherwise(1)
-    summed = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
-    return F.when(x.isNull(), None).when(~x.rlike("^[0-9]+$") | ~n.isin(*GTIN_LENGTHS), False).otherwise(summed % 10 == 0)
+    """Whether its digits are as many as a barcode kind has and their check digit holds (weights 3 and 1 from the right)."""
+    d = digits(x)
+    n = F.length(d)
+    add = lambda total, i: total + F.substr(d, n - i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 3).otherwise(1)
+    summed = F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.lit(0), add)
+    return F.when(x.isNull(), None).when(~n.isin(*GTIN_LENGTHS), False).otherwise(summed % 10 == 0)
 
 
 def gtin_canonical(x: Column) -> Column:
@@ -28,8 +29,15 @@ def gtin_canonical(x: Column) -> Column:
 
 
 def gtin_restricted(x: Column) -> Column:
-    """Numbers that shops give out themselves, by the canonical form."""
-    return F.regexp_replace(x, "^0+(?=.{12,13}$)", "").rlike("^(02|04|2)")
+    """Numbers that shops give out themselves, by the digits as given."""
+    return digits(x).rlike("^(02|04|2)")
+
+
+def gtin_pick(candidates: Column) -> Column:
+    """Of an array the longest barcode that is valid and unrestricted (the first of equals), in canonical form."""
+    good = F.filter(candidates, lambda x: F.coalesce(gtin_valid(x) & ~gtin_restricted(x), F.lit(False)))
+    longest = F.aggregate(F.transform(good, digits), F.lit("").cast("string"), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
+    return F.when(longest != "", gtin_canonical(longest))
 
 
 def gtin_generic(x: Column) -> Column:
@@ -79,8 +87,163 @@ def word_bag(x: Column) -> Column:
     return F.array_join(F.array_sort(F.regexp_extract_all(F.lower(F.replace(x, F.lit("+"), F.lit(" plus "))), F.lit("([0-9a-z]+)"), 1)), " ")
 
 
-def identity_key(brand: Column, category: Column, model: Column, axes: Column, expected: Column) -> Column:
-    """A hash of maker, category, model and axes (map of text); null unless every expected axis is there."""
+def identity_key(brand: Column, category: Column, model: Column, axes: Column, expected: Column, kind: Column | None = None, unit_count: Column | None = None) -> Column:
+    """A hash of maker, category, model, kind, units and axes (map of text); null unless every expected axis is there."""
     pairs = F.array_sort(F.transform(F.map_entries(axes), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     whole = (F.size(F.array_except(expected, F.map_keys(axes))) == 0) & F.forall(expected, lambda k: axes[k].isNotNull())
-    return F.when(whole, F.sha2(F.concat(brand, F.lit("|"), category, F.lit("|"), model, F.lit("|"), F.array_join(pairs, ";")), 256))
+    parts = [brand, category, model, F.lit("single") if kind is None else kind, (F.lit(1) if unit_count is None else unit_count).cast("string"), F.array_join(pairs, ";")]
+    bar = F.lit("|")
+    return F.when(whole, F.sha2(F.concat(*[x for part in parts for x in (part, bar)][:-1]), 256))
+
+
+# Fields of a flat feed in the order in which they are asked, and words for states.
+TITLE_KEYS = ("title", "name", "product_name")
+BRAND_KEYS = ("brand", "manufacturer", "vendor", "brand_name")
+GTIN_KEYS = ("gtin", "ean", "ean13", "barcode", "upc")
+MPN_KEYS = ("mpn", "part_number", "partnumber", "sku", "vendor_code", "article")
+MODEL_KEYS = ("model", "model_name")
+PRICE_KEYS = ("price", "current_price", "sale_price", "amount")
+CONDITIONS = {"new": "new", "refurbished": "refurbished", "refurb": "refurbished", "renewed": "refurbished", "used": "used", "second-hand": "used", "pre-owned": "used"}
+AVAILABILITY = {
+    "in_stock": "in_stock", "instock": "in_stock", "available": "in_stock", "true": "in_stock", "yes": "in_stock", "out_of_stock": "out_of_stock", "outofstock": "out_of_stock", "unavailable": "out_of_stock", "false": "out_of_stock", "no": "out_of_stock",
+    "preorder": "preorder", "pre-order": "preorder", "backorder": "preorder",
+}
+
+
+def lowered(fields: Column) -> Column:
+    """A map of text with its keys in lower case; of keys that become one the last counts."""
+    pairs = F.map_entries(fields)
+    keys = F.transform(pairs, lambda e: F.lower(e["key"]))
+    last = F.filter(F.transform(pairs, lambda e, i: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"), i.alias("i"))), lambda e: ~F.array_contains(F.slice(keys, e["i"] + 2, F.size(keys)), e["key"]))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
+
+
+def first_text(fields: Column, keys: tuple[str, ...], most: int) -> Column:
+    """The first of some keys (of a map with lower-case keys) that says anything."""
+    return text(F.coalesce(*[F.nullif(fields[k], F.lit("")) for k in keys]), most)
+
+
+def mapped(value: Column, table: dict[str, str], fallback: str) -> Column:
+    """A synonym's meaning; white space between words counts as an underscore."""
+    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.replace(F.lower(F.trim(value)), F.lit(" "), F.lit("_"))), F.lit(fallback))
+
+
+def category_path(parts: Column) -> Column:
+    """Parts that say anything, with ` / ` between them, up to 500 characters."""
+    plain = F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
+    return F.nullif(F.substring(F.array_join(F.filter(plain, lambda x: x != ""), " / "), 1, 500), F.lit(""))
+
+
+def attribute_name(x: Column) -> Column:
+    """Commas and semicolons are spaces, marks at the ends go (a closing bracket stays), lower case."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(x, "[,;]", " "), r"(?U)[\s ]+", " "))
+    plain = F.trim(F.regexp_replace(plain, "^[:.,;®™]+|[:.,;®™]+$", ""))
+    return F.nullif(F.lower(F.trim(F.regexp_replace(plain, r"(?U)[^\w)]+$", ""))), F.lit(""))
+
+
+def without_brand(name: Column, brand: Column) -> Column:
+    """The name without the brand before it, where it ends there or a mark follows; unchanged if nothing is left."""
+    plain, head = F.trim(name), F.trim(brand)
+    rest = F.substring(plain, F.length(head) + 1, F.length(plain))
+    bounded = F.lower(plain).startswith(F.lower(head)) & (head != "") & ((rest == "") | rest.rlike(r"^[\s,./|-]"))
+    left = F.regexp_replace(rest, r"^[\s,./|-]+|[\s,./|-]+$", "")
+    return F.when(F.coalesce(bounded & (left != ""), F.lit(False)), left).otherwise(plain)
+
+
+#: No device holds more.
+LARGEST_MB = 2 * 1024 * 1024
+
+
+def megabytes(x: Column) -> Column:
+    """The largest size in a text that a device can have; `128/4 GB` lends its unit to both, sizes marked as RAM don't count."""
+    number, unit = r"\d+(?:[.,]\d+)?", "(?:TB|GB|MB)"
+    plain = F.regexp_replace(x, rf"(?i)\bRAM\s*:?\s*{number}\s?GB\b|\b{number}\s?GB\s+(?:of\s+)?RAM\b", " ")
+    found = lambda pattern: F.regexp_extract_all(plain, F.lit(pattern), 1)
+    alone = found(rf"(?i)(\b{number}\s?{unit}\b)")
+    shared = F.transform(found(rf"(?i)(\b{number}\s*/\s*{number}\s?{unit}\b)"), lambda p: F.concat(F.regexp_extract(p, rf"^({number})", 1), F.regexp_extract(p, r"([A-Za-z]+)$", 1)))
+
+    def size(p: Column) -> Column:
+        scale = F.when(p.ilike("%TB"), 1048576).when(p.ilike("%GB"), 1024).otherwise(1)
+        return F.floor(F.replace(F.regexp_extract(p, rf"^({number})", 1), F.lit(","), F.lit(".")).cast("double") * scale).cast("long")
+
+    return F.array_max(F.filter(F.transform(F.concat(alone, shared), size), lambda v: v <= LARGEST_MB))
+
+
+def agreed_storage(stated: Column, titled: Column) -> Column:
+    """The one size that fields (an array) and title agree on; of several fields the title settles which."""
+    kinds = F.array_distinct(F.filter(stated, lambda x: x.isNotNull()))
+    n = F.size(kinds)
+    return F.when(titled.isNull(), F.when(n == 1, kinds[0])).when((n == 0) | ((n == 1) & (kinds[0] == titled)) | ((n > 1) & F.array_contains(kinds, titled)), titled)
+
+
+def size_as_name(x: Column) -> Column:
+    """A screen's size in place of a name: with a fraction, or with an inch mark; a whole number is a name."""
+    mark = "(?:\"|''|”|″)"
+    return x.rlike(rf"^\s*\d{{1,2}}(?:[.,]\d{{1,2}}\s*{mark}?|\s*{mark})\s*$")
+
+
+def edition(title: Column, model: Column, mpn: Column) -> Column:
+    """enterprise where title, model or part number say so, else standard."""
+    said = F.concat_ws(" ", title, mpn, model)
+    return F.when(said.rlike(r"(?i)\benterprise\b") | said.rlike(r"(?<![\w-])EE(?![\w-])") | said.rlike(r"(?i)\bSM-?[A-Z]\d{3}[A-Z0-9]*EE[A-Z]\b"), "enterprise").otherwise("standard")
+
+
+def without_edition(model: Column) -> Column:
+    """The model without words of its edition, unless nothing else is left."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(model, r"(?i)\b(?:enterprise(?:\s+edition)?)\b|(?-i)(?<![\w-])EE(?![\w-])", " "), r"\s+", " "))
+    return F.when(bare != "", bare).otherwise(model)
+
+
+def colour_of(phrase: Column, colours: Column) -> Column:
+    """The meaning of a phrase in a map of colours: as a whole, else without words at its front, down to the last one."""
+    plain = F.regexp_replace(phrase, "[„“”«»\"']", "")
+    words = F.filter(F.split(F.lower(F.regexp_replace(plain, r"\([^)]*\)|\[[^\]]*\]", " ")), r"[\s,.;:/]+"), lambda w: w != "")
+    tries = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.try_element_at(colours, F.array_join(F.slice(words, i, F.size(words)), " ")))
+    return F.when(F.size(words) > 0, F.try_element_at(F.filter(tries, lambda x: x.isNotNull()), F.lit(1)))
+
+
+def colour_pair(parts: Column, colours: Column) -> Column:
+    """Several colours as one (`a-b`), if all are known and the registry has the pair; one alone is itself."""
+    named = F.transform(parts, lambda p: colour_of(p, colours))
+    joined = F.array_join(named, "-")
+    known = F.size(named) == F.size(F.filter(named, lambda x: x.isNotNull()))
+    return F.when(known & (F.size(named) > 0), F.when(F.size(named) == 1, named[0]).when(F.array_contains(F.map_values(colours), joined), joined))
+
+
+def colour_in_title(title: Column, palette: Column) -> Column:
+    """The one colour that a maker's palette (map of names) finds in a title as whole words in a row; none if there are two."""
+    words = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(title), F.lit(r"([\p{L}]+)"), 1), " "), F.lit(" "))
+    found = F.array_distinct(F.transform(F.filter(F.map_entries(palette), lambda e: F.contains(words, F.concat(F.lit(" "), e["key"], F.lit(" ")))), lambda e: e["value"]))
+    return F.when(F.size(found) == 1, found[0])
+
+
+#: Words that make a name another model where they follow it.
+VARIANTS = ("pro", "max", "plus", "ultra", "mini", "lite")
+
+
+def model_in_title(title: Column, names: Column, longest: int = 6, variants: tuple[str, ...] = VARIANTS) -> Column:
+    """The longest registered name (map of names) in a title, as whole words in a row; none if two have that length.
+
+    A name that a variant word follows is no name there, nor are shorter ones within it.
+    """
+    words = F.regexp_extract_all(F.lower(title), F.lit(r"((?:[\p{L}\p{N}]|\+)+)"), 1)
+    n = F.size(words)
+    windows = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.struct(i.alias("at"), k.alias("k"), F.array_join(F.slice(words, i, k), " ").alias("name")))))
+    held = F.filter(windows, lambda w: (w["at"] + w["k"] - 1 <= n) & F.map_contains_key(names, w["name"]))
+    after = lambda w: F.regexp_replace(F.coalesce(F.get(words, w["at"] + w["k"] - 1), F.lit("")), r"\++$", "")
+    goes_on = lambda w: after(w).isin(*variants) & ~((after(w) == "plus") & w["name"].rlike(r"(?:\+|plus)$"))
+    refused = F.filter(held, goes_on)
+    good = F.filter(held, lambda w: ~F.exists(refused, lambda r: (r["at"] <= w["at"]) & (w["at"] + w["k"] <= r["at"] + r["k"])))
+    most = F.array_max(F.transform(good, lambda w: w["k"]))
+    best = F.array_distinct(F.transform(F.filter(good, lambda w: w["k"] == most), lambda w: names[w["name"]]))
+    return F.when(F.size(best) == 1, best[0])
+
+
+#: Keys whose values never leave the engine.
+SENSITIVE = ("password", "new_password", "current_password", "password_hash", "secret", "secret_key", "token", "access_token", "refresh_token", "authorization", "api_key")
+
+
+def redacted(fields: Column) -> Column:
+    """A map of text with sensitive values replaced."""
+    return F.transform_values(fields, lambda k, v: F.when(F.lower(k).isin(*SENSITIVE), "[redacted]").otherwise(v))
