@@ -1,13 +1,15 @@
-"""Catalogue lists, the category tree, the match ladder, its queue and repairs of the catalogue."""
+"""Catalogue lists, the category tree and repairs of the catalogue."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import gtin_canonical, gtin_valid, near_value, word_bag
 from ..operators.asof import newest
+from ..operators.saved import saved
 from ..sources.tables import OFFERS, VARIANTS, offers, read, variants
+from .matching import AXES, ENTRY_FACTS, LISTING_FACTS, entries, said
 
 
 def products_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,16 +67,21 @@ UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, true FROM supplier)"""
 _CLOSURE = f"""WITH RECURSIVE {_TREE}, up AS (SELECT id, id AS above, parent, 0 AS depth, visible AS v FROM tree UNION ALL SELECT up.id, tree.id, tree.parent, up.depth + 1, tree.visible FROM up JOIN tree ON up.parent = tree.id)"""
 
 
-def closure(tree: DataFrame, most: int = 32) -> DataFrame:
-    """id, above, depth, v for each node and each of its ancestors (itself at 0); as many joins as the tree is deep."""
-    step = tree.select("id", F.col("id").alias("above"), "parent", F.lit(0).alias("depth"), F.col("visible").alias("v"))
-    out = step
-    for _ in range(most):
-        step = step.where("parent is not null").alias("a").join(tree.alias("t"), F.col("a.parent") == F.col("t.id")).select("a.id", F.col("t.id").alias("above"), "t.parent", (F.col("a.depth") + 1).alias("depth"), F.col("t.visible").alias("v"))
-        if step.isEmpty():
-            break
-        out = out.unionByName(step)
-    return out
+def closure(tree: DataFrame) -> DataFrame:
+    """id, above, depth, v for each node and each of its ancestors (itself at 0), however deep the tree.
+
+    Paths double in length at each round, so there are as many rounds as the depth has binary digits;
+    each round is written once. A cycle is an error.
+    """
+    reach = tree.select("id", F.col("id").alias("above"), F.lit(0).alias("depth"))
+    step = saved(tree.where("parent is not null").join(tree.select(F.col("id").alias("parent")), "parent").select("id", F.col("parent").alias("above"), F.lit(1).alias("depth")))
+    while not step.isEmpty():
+        if not step.where("id = above").isEmpty():
+            raise ValueError("the tree has a cycle")
+        far = step.select(F.col("id").alias("above"), F.col("above").alias("to"), F.col("depth").alias("more"))
+        reach = saved(reach.unionByName(reach.join(far, "above").select("id", F.col("to").alias("above"), (F.col("depth") + F.col("more")).alias("depth"))))
+        step = saved(step.join(far, "above").select("id", F.col("to").alias("above"), (F.col("depth") + F.col("more")).alias("depth")))
+    return reach.join(tree.select(F.col("id").alias("above"), F.col("visible").alias("v")), "above")
 
 
 def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,105 +99,28 @@ def category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure(_tree(spark, sf_dir)).join(own, "id", "left").groupBy("above").agg(F.coalesce(F.sum("own"), F.lit(0)).alias("offers"), F.count("*").alias("nodes"))
 
 
-# the match ladder: a listing's barcode, then maker and part number, then maker and model
-
-
-def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a listing says of its variant: every rung is missing on some."""
-    v = variants(spark, sf_dir)
-    o = offers(spark, sf_dir).join(v.select("variant_id", "brand", "model", "size"), "variant_id")
-    n = F.col("offer_id")
-    return o.select(
-        "offer_id", "variant_id", F.when(n % 3 == 0, F.lpad(F.col("variant_id").cast("string"), 14, "0")).alias("gtin"), F.when(n % 7 != 0, F.col("brand")).alias("brand"),
-        F.when(n % 5 == 0, F.concat(F.lit("P"), (F.col("variant_id") % 500).cast("string"))).alias("mpn"), F.when(n % 2 == 0, F.col("model")).alias("model"), F.when(n % 4 != 0, F.col("size")).alias("size"),
-    )
-
-
-_SIGNALS = f"""{OFFERS}, {VARIANTS}, signals AS (SELECT offer_id, CASE WHEN offer_id % 3 = 0 THEN lpad(CAST(variant_id AS VARCHAR), 14, '0') END AS gtin, CASE WHEN offer_id % 7 <> 0 THEN brand END AS brand,
- CASE WHEN offer_id % 5 = 0 THEN 'P' || (variant_id % 500) END AS mpn, CASE WHEN offer_id % 2 = 0 THEN model END AS model, CASE WHEN offer_id % 4 <> 0 THEN size END AS size FROM offers JOIN variants USING (variant_id)),
-cat AS (SELECT variant_id, brand, model, size, lpad(CAST(variant_id AS VARCHAR), 14, '0') AS gtin, 'P' || (variant_id % 500) AS mpn FROM variants)"""
-
-
-def match_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each listing's match, or the reason for which it waits.
-
-    A rung matches if it leads to one variant that doesn't contradict the listing's axes
-    (a part number needs no axis, a model needs one that agrees); several are ambiguous.
-    Candidates are counted by signal before they meet the listings, so that a popular
-    signal brings one row a listing and not one for each candidate.
-    """
-    s = _signals(spark, sf_dir)
-    v = variants(spark, sf_dir)
-    cat = v.select("variant_id", "brand", "model", "size", F.lpad(F.col("variant_id").cast("string"), 14, "0").alias("gtin"), F.concat(F.lit("P"), (F.col("variant_id") % 500).cast("string")).alias("mpn"))
-    one = lambda *keys: cat.groupBy(*keys).agg(F.count("*").alias("n"), F.min("variant_id").alias("found"))
-    gtin = one("gtin").select("gtin", F.col("n").alias("g_n"), F.col("found").alias("g"))
-    part = one("brand", "mpn").select("brand", "mpn", F.col("n").alias("p_n"), F.col("found").alias("p"))
-    sized = one("brand", "mpn", "size").select("brand", "mpn", "size", F.col("n").alias("ps_n"), F.col("found").alias("ps"))
-    model = one("brand", "model", "size").select("brand", "model", "size", F.col("n").alias("m_n"), F.col("found").alias("m"))
-    any_model = one("brand", "model").select("brand", "model", F.col("n").alias("a_n"))
-    rows = s.join(gtin, "gtin", "left").join(part, ["brand", "mpn"], "left").join(sized, ["brand", "mpn", "size"], "left").join(model, ["brand", "model", "size"], "left").join(any_model, ["brand", "model"], "left")
-    p_n = F.when(F.col("size").isNull(), F.col("p_n")).otherwise(F.col("ps_n"))
-    p = F.when(F.col("size").isNull(), F.col("p")).otherwise(F.col("ps"))
-    method = F.when(F.col("g_n") == 1, "gtin").when(p_n == 1, "brand_mpn").when(p_n.isNull() & (F.col("m_n") == 1), "brand_model")
-    signals = F.coalesce(F.col("gtin"), F.col("mpn"), F.col("model"))
-    reason = (
-        F.when(F.col("g_n") > 1, "ambiguous").when(p_n > 1, "ambiguous").when(F.col("m_n") > 1, "ambiguous").when(signals.isNull(), "no_signals").when(F.col("gtin").isNotNull(), "signals_unmatched").when(F.col("brand").isNull(), "brand_unknown")
-        .when(F.col("size").isNull() & F.col("a_n").isNotNull(), "low_confidence").otherwise("signals_unmatched")
-    )
-    found = F.when(method == "gtin", F.col("g")).when(method == "brand_mpn", p).when(method == "brand_model", F.col("m"))
-    return rows.select("offer_id", method.alias("method"), found.alias("found"), F.when(method.isNull(), reason).alias("reason"))
-
-
-_LADDER = f"""{_SIGNALS}, ladder AS (SELECT s.*, (SELECT count(*) FROM cat c WHERE c.gtin = s.gtin) AS g_n, (SELECT min(variant_id) FROM cat c WHERE c.gtin = s.gtin) AS g, CASE WHEN s.size IS NULL THEN pa.n ELSE ps.n END AS p_n, CASE WHEN s.size IS NULL THEN pa.v ELSE ps.v END AS p, m.n AS m_n, m.v AS m, a.n AS a_n FROM signals s
-LEFT JOIN (SELECT brand, mpn, count(*) AS n, min(variant_id) AS v FROM cat GROUP BY ALL) pa ON pa.brand = s.brand AND pa.mpn = s.mpn
-LEFT JOIN (SELECT brand, mpn, size, count(*) AS n, min(variant_id) AS v FROM cat GROUP BY ALL) ps ON ps.brand = s.brand AND ps.mpn = s.mpn AND ps.size = s.size
-LEFT JOIN (SELECT brand, model, size, count(*) AS n, min(variant_id) AS v FROM cat GROUP BY ALL) m ON m.brand = s.brand AND m.model = s.model AND m.size = s.size
-LEFT JOIN (SELECT brand, model, count(*) AS n FROM cat GROUP BY ALL) a ON a.brand = s.brand AND a.model = s.model),
-matched AS (SELECT *, CASE WHEN g_n = 1 THEN 'gtin' WHEN p_n = 1 THEN 'brand_mpn' WHEN p_n IS NULL AND m_n = 1 THEN 'brand_model' END AS method FROM ladder),
-result AS (SELECT offer_id, method, CASE method WHEN 'gtin' THEN g WHEN 'brand_mpn' THEN p WHEN 'brand_model' THEN m END AS found,
- CASE WHEN method IS NOT NULL THEN NULL WHEN g_n > 1 OR p_n > 1 OR m_n > 1 THEN 'ambiguous' WHEN gtin IS NULL AND mpn IS NULL AND model IS NULL THEN 'no_signals' WHEN gtin IS NOT NULL THEN 'signals_unmatched' WHEN brand IS NULL THEN 'brand_unknown'
- WHEN size IS NULL AND a_n IS NOT NULL THEN 'low_confidence' ELSE 'signals_unmatched' END AS reason FROM matched)"""
-
-
-def queue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings by outcome: the method of those placed, the reason of those that wait."""
-    return match_ladder(spark, sf_dir).groupBy(F.coalesce("method", "reason").alias("outcome")).agg(F.count("*").alias("listings"))
-
-
-def queue_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many waiting listings name the same maker and model; one that doesn't counts itself."""
-    waiting = match_ladder(spark, sf_dir).where("reason is not null").select("offer_id")
-    rows = _signals(spark, sf_dir).join(waiting, "offer_id", "left_semi")
-    known = F.col("brand").isNotNull() & F.col("model").isNotNull()
-    same = rows.where(known).groupBy("brand", "model").agg(F.count("*").alias("n"))
-    return rows.join(same, ["brand", "model"], "left").select("offer_id", F.coalesce("n", F.lit(1)).alias("siblings"))
-
-
-def axes_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does the listing's axis agree with its entry's: true, false, or null where one is silent."""
-    s = _signals(spark, sf_dir)
-    held = variants(spark, sf_dir).select("variant_id", F.when(F.col("variant_id") % 11 != 0, F.col("size")).alias("held"))
-    return s.join(held, "variant_id").select("offer_id", F.col("size").alias("stated"), "held", (F.col("size") == F.col("held")).alias("agrees"))
-
-
 # repairs
 
 
 def suspects_part_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One maker's part number on several entries of one size."""
-    v = variants(spark, sf_dir).withColumn("mpn", F.concat(F.lit("P"), (F.col("variant_id") % 500).cast("string")))
-    return v.groupBy("brand", "mpn", "size").agg(F.count("*").alias("n"), F.min("variant_id").alias("first"), F.max("variant_id").alias("last")).where("n > 1")
+    """One maker's part number (without white space) on several entries that agree on every axis that they share: no axis has two values."""
+    rows = entries(spark, sf_dir).where(~F.col("mpn").rlike(r"\s")).groupBy("brand", "mpn")
+    found = rows.agg(F.count("*").alias("n"), F.min("variant_id").alias("first"), F.max("variant_id").alias("last"), *[F.countDistinct(a).alias(f"_{a}") for a in AXES])
+    return found.where((F.col("n") > 1) & (F.col("_size") <= 1) & (F.col("_colour") <= 1)).select("brand", "mpn", "n", "first", "last")
 
 
 def suspects_near_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one maker, model and size whose prices differ by up to five in a hundred, as (smaller, larger) of neighbours.
+    """Different prices of one maker, model and size that lie within five in a hundred of each other, each pair once, with the first entry and the number of entries of both.
 
-    Each entry is held against the next dearer one of its group only: what lies between
-    two near entries is near to both, so chains of neighbours hold all groups.
+    Entries of one price are one class. A class is filed under the logarithm of its price, in bins a
+    little wider than near prices can lie apart, and meets its own bin and the next one only.
     """
-    w = Window.partitionBy("brand", "model").orderBy("list_price", "variant_id")
-    rows = variants(spark, sf_dir).withColumn("next", F.lead("variant_id").over(w)).withColumn("next_price", F.lead("list_price").over(w))
-    return rows.where(F.col("next").isNotNull() & (F.col("list_price") != F.col("next_price")) & near_value(F.col("list_price"), F.col("next_price"))).select(F.col("variant_id").alias("a"), F.col("next").alias("b"))
+    same = ["brand", "model", "size"]
+    classes = variants(spark, sf_dir).where("list_price > 0").groupBy(*same, "list_price").agg(F.min("variant_id").alias("first"), F.count("*").alias("n"))
+    classes = classes.withColumn("bin", F.floor(F.log(F.col("list_price").cast("double")) / 0.0514).cast("long"))  # -ln 0.95 is 0.0513
+    low = classes.select(*same, F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("list_price").alias("low"), F.col("first").alias("a"), F.col("n").alias("a_n"))
+    high = classes.select(*same, "bin", F.col("list_price").alias("high"), F.col("first").alias("b"), F.col("n").alias("b_n"))
+    return low.join(high, [*same, "bin"]).where((F.col("low") < F.col("high")) & near_value(F.col("low"), F.col("high"))).select("low", "high", "a", "b", "a_n", "b_n")
 
 
 def suspects_word_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,16 +137,63 @@ def barcode_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stale_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The condition most listings of a variant state: by count, then the shorter, then the first in order."""
-    counts = offers(spark, sf_dir).groupBy("variant_id", "condition").agg(F.count("*").alias("n"))
-    return newest(counts, ["variant_id"], F.desc("n"), F.length("condition"), F.col("condition")).select("variant_id", "condition", "n")
+    """Entries whose name no shop's newest listing reads, with the name that most read: by count, then the shorter, then the first in order."""
+    last = newest(said(spark, sf_dir).where("model is not null"), ["true_id", "seller_id"], F.desc("seen_at"), F.desc("offer_id")).select(F.col("true_id").alias("variant_id"), F.col("model").alias("reads"))
+    counts = last.groupBy("variant_id", "reads").agg(F.count("*").alias("n"))
+    rows = counts.join(entries(spark, sf_dir).select("variant_id", "model"), "variant_id")
+    kept = rows.where("reads = model").select("variant_id")
+    best = newest(rows.join(kept, "variant_id", "left_anti"), ["variant_id"], F.desc("n"), F.length("reads"), F.col("reads"))
+    return best.select("variant_id", "model", F.col("reads").alias("becomes"), "n")
 
 
 def split_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants all of whose listings state an axis, and not the same value."""
-    s = _signals(spark, sf_dir)
-    axis = F.when(F.col("offer_id") % 13 != 0, F.col("offer_id") % 2)
-    return s.groupBy("variant_id").agg(F.bool_and(axis.isNotNull()).alias("all_state"), F.countDistinct(axis).alias("kinds")).where("all_state and kinds >= 2").select("variant_id", "kinds")
+    """Entries without a colour all of whose listings state one, and not the same."""
+    rows = said(spark, sf_dir).select(F.col("true_id").alias("variant_id"), F.when(F.col("channel") % 5 != 0, F.coalesce("colour", F.lit("plain"))).alias("colour"))
+    found = rows.groupBy("variant_id").agg(F.bool_and(F.col("colour").isNotNull()).alias("all_state"), F.countDistinct("colour").alias("kinds")).where("all_state and kinds >= 2")
+    return found.join(entries(spark, sf_dir).where("colour is null").select("variant_id"), "variant_id", "left_semi").select("variant_id", "kinds")
+
+
+def misfiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries whose model isn't their family's (that of its first entry), whatever the case."""
+    e = entries(spark, sf_dir).withColumn("family", F.concat_ws("|", "brand", "category", (F.col("variant_id") % 50).cast("string")))
+    family = e.groupBy("family").agg(F.min_by("model", "variant_id").alias("family_model"))
+    return e.join(family, "family").where(F.lower("model") != F.lower("family_model")).select("variant_id", "model", "family_model")
+
+
+def miscased_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families all of whose entries have one model that differs from the family's name in case only."""
+    e = entries(spark, sf_dir).withColumn("family", F.concat_ws("|", "brand", F.initcap("model")))
+    found = e.groupBy("family", F.concat_ws(" ", "brand").alias("brand")).agg(F.countDistinct("model").alias("models"), F.min("model").alias("model"), F.count("*").alias("entries"))
+    name = F.substring_index("family", "|", -1)
+    return found.where((F.col("models") == 1) & (name != F.col("model")) & (F.lower(name) == F.lower("model"))).select("family", "model", "entries")
+
+
+def deletable_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden families (suppliers in the red) without an entry, a mention in the log, or a merge: three anti joins."""
+    s = read(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("family_id"), "s_name")
+    sold = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_suppkey").alias("family_id"))
+    told = read(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("user_id").alias("family_id"))
+    gone = read(spark, sf_dir, "part").where("p_partkey % 7 = 0").select(F.col("p_size").cast("long").alias("family_id"))
+    for other in (sold, told, gone):
+        s = s.join(other, "family_id", "left_anti")
+    return s
+
+
+def stale_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Axes of entries that all their listings that state them read otherwise, or that the entry lacks: the one value that is read."""
+    axis = F.explode(F.array(F.struct(F.lit("size").alias("axis"), F.col("size").alias("value")), F.struct(F.lit("colour").alias("axis"), F.col("colour").alias("value")))).alias("x")
+    reads = said(spark, sf_dir).select(F.col("true_id").alias("variant_id"), axis).select("variant_id", "x.*").where("value is not null")
+    reads = reads.groupBy("variant_id", "axis").agg(F.countDistinct("value").alias("kinds"), F.min("value").alias("reads"), F.count("*").alias("n")).where("kinds = 1")
+    held = entries(spark, sf_dir).select("variant_id", axis).select("variant_id", F.col("x.axis").alias("axis"), F.col("x.value").alias("held"))
+    return reads.join(held, ["variant_id", "axis"]).where(~F.col("reads").eqNullSafe(F.col("held"))).select("variant_id", "axis", "held", "reads", "n")
+
+
+def suspects_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suspects by kind: how many there are, and the first entry of the largest."""
+    part = suspects_part_number(spark, sf_dir).select(F.lit("part_number").alias("kind"), F.col("first").alias("entry"), F.col("n").alias("size"))
+    near = suspects_near_value(spark, sf_dir).select(F.lit("near_value").alias("kind"), F.col("a").alias("entry"), (F.col("a_n") + F.col("b_n")).alias("size"))
+    every = part.unionByName(near)
+    return every.groupBy("kind").agg(F.count("*").alias("total"), F.max_by("entry", F.struct("size", -F.col("entry"))).alias("entry"), F.max("size").alias("size"))
 
 
 def empty_families(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,14 +201,6 @@ def empty_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(spark, sf_dir).join(seen, "variant_id", "left_anti").select("variant_id", "brand")
 
 
-def unpublished_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Axes that a shop states on under three in ten of its (fifty or more) latest listings."""
-    rows = offers(spark, sf_dir).withColumn("axis", F.explode(F.array(F.lit("size"), F.lit("colour"))))
-    states = F.when(F.col("axis") == "size", F.col("offer_id") % 4 != 0).otherwise(F.col("offer_id") % 4 == 1)
-    out = rows.groupBy("shop_id", "axis").agg(F.count("*").alias("n"), F.count_if(states).alias("stated"))
-    return out.where((F.col("n") >= 50) & (F.col("stated") * 10 < F.col("n") * 3))
-
-
 def alias_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The maker with which each word of a title stands most often, ties to the first name."""
     words = variants(spark, sf_dir).select("brand", "variant_id", F.explode(F.split(F.lower("title"), " ")).alias("word"))
@@ -251,12 +220,13 @@ def barcodes_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offers(spark, sf_dir).select("offer_id", gtin_canonical(raw).alias("gtin"), gtin_valid(raw).alias("valid"))
 
 
-_Q = "SELECT offer_id, method, found, reason FROM result"
+_NEAR = f"""{VARIANTS}, c AS (SELECT brand, model, size, list_price, min(variant_id) AS first, count(*) AS n FROM variants WHERE list_price > 0 GROUP BY ALL),
+near AS (SELECT x.list_price AS low, y.list_price AS high, x.first AS a, y.first AS b, x.n AS a_n, y.n AS b_n FROM c x JOIN c y ON x.brand = y.brand AND x.model = y.model AND x.size = y.size AND x.list_price < y.list_price AND (y.list_price - x.list_price) * 20 <= y.list_price)"""
 QUERIES = {
     f.__name__: f
     for f in (
-        products_list, variants_list, catalog_search, brands_list, offers_list, offers_keyset, ancestors, effective_visibility, category_rollup, match_ladder, queue_summary, queue_siblings, axes_compared,
-        suspects_part_number, suspects_near_value, suspects_word_order, barcode_duplicates, stale_names, split_candidates, empty_families, unpublished_axes, alias_candidates, dedupe_identifiers, barcodes_checked,
+        products_list, variants_list, catalog_search, brands_list, offers_list, offers_keyset, ancestors, effective_visibility, category_rollup,
+        suspects_part_number, suspects_near_value, suspects_word_order, barcode_duplicates, stale_names, split_candidates, empty_families, misfiled, miscased_families, deletable_families, stale_axes, suspects_report, alias_candidates, dedupe_identifiers, barcodes_checked,
     )
 }
 ORACLES = {
@@ -271,24 +241,27 @@ SELECT v.brand, count(*) AS variants, count(DISTINCT model) AS families, coalesc
     "ancestors": f"{_CLOSURE} SELECT id, above, depth FROM up",
     "effective_visibility": f"{_CLOSURE} SELECT id, bool_and(v) AS visible FROM up GROUP BY id",
     "category_rollup": f"{_CLOSURE}, own AS (SELECT 's' || l_suppkey AS id, count(*) AS own FROM lineitem GROUP BY ALL) SELECT above, CAST(coalesce(sum(own), 0) AS BIGINT) AS offers, count(*) AS nodes FROM up LEFT JOIN own USING (id) GROUP BY above",
-    "match_ladder": f"WITH {_LADDER} {_Q}",
-    "queue_summary": f"WITH {_LADDER} SELECT coalesce(method, reason) AS outcome, count(*) AS listings FROM result GROUP BY ALL",
-    "queue_siblings": f"WITH {_LADDER}, w AS (SELECT * FROM signals WHERE offer_id IN (SELECT offer_id FROM result WHERE reason IS NOT NULL)) SELECT offer_id, CASE WHEN brand IS NULL OR model IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY brand, model) END AS siblings FROM w",
-    "axes_compared": f"""WITH {OFFERS}, {VARIANTS} SELECT offer_id, CASE WHEN offer_id % 4 <> 0 THEN size END AS stated, CASE WHEN variant_id % 11 <> 0 THEN size END AS held, CASE WHEN offer_id % 4 <> 0 AND variant_id % 11 <> 0 THEN true END AS agrees FROM offers JOIN variants USING (variant_id)""",
-    "suspects_part_number": f"WITH {VARIANTS} SELECT brand, 'P' || (variant_id % 500) AS mpn, size, count(*) AS n, min(variant_id) AS first, max(variant_id) AS last FROM variants GROUP BY ALL HAVING count(*) > 1",
-    "suspects_near_value": f"""WITH {VARIANTS}, n AS (SELECT variant_id AS a, list_price AS p, lead(variant_id) OVER w AS b, lead(list_price) OVER w AS q FROM variants WINDOW w AS (PARTITION BY brand, model ORDER BY list_price, variant_id))
-SELECT a, b FROM n WHERE b IS NOT NULL AND p <> q AND abs(p - q) * 20 <= greatest(abs(p), abs(q))""",
     "suspects_word_order": f"""WITH {VARIANTS} SELECT list_aggregate(list_sort(regexp_extract_all(lower(replace(model, '+', ' plus ')), '[0-9a-z]+')), 'string_agg', ' ') AS bag, count(*) AS entries, count(DISTINCT model) AS names, min(model) AS first FROM variants GROUP BY ALL HAVING count(*) > 1""",
     "barcode_duplicates": f"""WITH {OFFERS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variant_id, shop_id ORDER BY seen_at DESC, offer_id DESC) AS n FROM offers) WHERE n = 1)
 SELECT offer_id % 29989 AS gtin, min(variant_id) AS a, max(variant_id) AS b FROM l GROUP BY ALL HAVING count(DISTINCT variant_id) = 2""",
-    "stale_names": f"""WITH {OFFERS}, c AS (SELECT variant_id, condition, count(*) AS n FROM offers GROUP BY ALL) SELECT variant_id, condition, n FROM (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY n DESC, len(condition), condition) AS k FROM c) WHERE k = 1""",
-    "split_candidates": f"WITH {OFFERS} SELECT variant_id, count(DISTINCT offer_id % 2) AS kinds FROM offers GROUP BY variant_id HAVING bool_and(offer_id % 13 <> 0) AND count(DISTINCT offer_id % 2) >= 2",
     "empty_families": f"WITH {VARIANTS} SELECT variant_id, brand FROM variants WHERE variant_id NOT IN (SELECT l_partkey FROM lineitem)",
-    "unpublished_axes": f"""WITH {OFFERS}, x AS (SELECT shop_id, axis, CASE axis WHEN 'size' THEN offer_id % 4 <> 0 ELSE offer_id % 4 = 1 END AS s FROM offers, (VALUES ('size'), ('colour')) a(axis))
-SELECT shop_id, axis, count(*) AS n, count(*) FILTER (WHERE s) AS stated FROM x GROUP BY ALL HAVING count(*) >= 50 AND count(*) FILTER (WHERE s) * 10 < count(*) * 3""",
     "alias_candidates": f"""WITH {VARIANTS}, w AS (SELECT brand, variant_id, unnest(string_split(lower(title), ' ')) AS word FROM variants), c AS (SELECT word, brand, count(DISTINCT variant_id) AS entries FROM w GROUP BY ALL HAVING count(DISTINCT variant_id) >= 2)
 SELECT word, brand, entries FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY entries DESC, brand) AS n FROM c) WHERE n = 1""",
     "dedupe_identifiers": f"""WITH {OFFERS} SELECT form, offer_id FROM (SELECT lpad(CAST(variant_id % 300 AS VARCHAR), 14, '0') AS form, offer_id, row_number() OVER (PARTITION BY variant_id % 300 ORDER BY CASE WHEN condition = 'new' THEN 0 ELSE 1 END, seen_at, offer_id) AS n FROM offers) WHERE n = 1""",
     "barcodes_checked": f"""WITH {OFFERS}, r AS (SELECT offer_id, '59029' || lpad(CAST(offer_id % 100000000 AS VARCHAR), 8, '0') AS d FROM offers)
 SELECT offer_id, lpad(d, 14, '0') AS gtin, list_sum(list_transform(range(0, 13), lambda i: CAST(substr(d, 13 - i, 1) AS INTEGER) * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END)) % 10 = 0 AS valid FROM r""",
+    "suspects_part_number": f"WITH e AS ({ENTRY_FACTS}) SELECT brand, mpn, count(*) AS n, min(variant_id) AS first, max(variant_id) AS last FROM e GROUP BY ALL HAVING count(*) > 1 AND count(DISTINCT size) <= 1 AND count(DISTINCT colour) <= 1",
+    "suspects_near_value": f"WITH {_NEAR} SELECT low, high, a, b, a_n, b_n FROM near",
+    "stale_names": f"""WITH e AS ({ENTRY_FACTS}), f AS ({LISTING_FACTS}), l AS (SELECT true_id AS variant_id, model AS reads FROM (SELECT *, row_number() OVER (PARTITION BY true_id, seller_id ORDER BY seen_at DESC, offer_id DESC) AS k FROM f WHERE model IS NOT NULL) WHERE k = 1),
+c AS (SELECT variant_id, reads, count(*) AS n FROM l GROUP BY ALL), x AS (SELECT c.variant_id, e.model, reads AS becomes, n, row_number() OVER (PARTITION BY c.variant_id ORDER BY n DESC, len(reads), reads) AS k FROM c JOIN e USING (variant_id) WHERE NOT EXISTS (SELECT 1 FROM c i WHERE i.variant_id = c.variant_id AND i.reads = e.model))
+SELECT variant_id, model, becomes, n FROM x WHERE k = 1""",
+    "split_candidates": f"""WITH e AS ({ENTRY_FACTS}), f AS ({LISTING_FACTS}) SELECT true_id AS variant_id, count(DISTINCT coalesce(f.colour, 'plain')) AS kinds FROM f WHERE true_id IN (SELECT variant_id FROM e WHERE colour IS NULL) GROUP BY ALL HAVING bool_and(channel % 5 <> 0) AND count(DISTINCT coalesce(f.colour, 'plain')) >= 2""",
+    "misfiled": f"""WITH e AS ({ENTRY_FACTS}), m AS (SELECT *, first_value(model) OVER (PARTITION BY brand, category, variant_id % 50 ORDER BY variant_id) AS family_model FROM e) SELECT variant_id, model, family_model FROM m WHERE lower(model) <> lower(family_model)""",
+    "miscased_families": f"""WITH e AS ({ENTRY_FACTS}), f AS (SELECT brand, model, list_aggregate(list_transform(string_split(lower(model), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS name FROM e)
+SELECT brand || '|' || name AS family, min(model) AS model, count(*) AS entries FROM f GROUP BY brand, name HAVING count(DISTINCT model) = 1 AND name <> min(model)""",
+    "deletable_families": "SELECT s_suppkey AS family_id, s_name FROM supplier WHERE s_acctbal < 0 AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) AND s_suppkey NOT IN (SELECT user_id FROM events WHERE event_type = 'signup') AND s_suppkey NOT IN (SELECT p_size FROM part WHERE p_partkey % 7 = 0)",
+    "stale_axes": f"""WITH e AS ({ENTRY_FACTS}), f AS ({LISTING_FACTS}), r AS (SELECT true_id AS variant_id, 'size' AS axis, size AS value FROM f UNION ALL SELECT true_id, 'colour', colour FROM f), u AS (SELECT variant_id, axis, min(value) AS reads, count(value) AS n FROM r GROUP BY ALL HAVING count(DISTINCT value) = 1),
+h AS (SELECT variant_id, 'size' AS axis, size AS held FROM e UNION ALL SELECT variant_id, 'colour', colour FROM e) SELECT variant_id, axis, held, reads, n FROM u JOIN h USING (variant_id, axis) WHERE reads IS DISTINCT FROM held""",
+    "suspects_report": f"""WITH {_NEAR}, e AS ({ENTRY_FACTS}), s AS (SELECT 'near_value' AS kind, a AS entry, a_n + b_n AS size FROM near UNION ALL SELECT 'part_number', min(variant_id), count(*) FROM e GROUP BY brand, mpn HAVING count(*) > 1 AND count(DISTINCT size) <= 1 AND count(DISTINCT colour) <= 1)
+SELECT kind, count(*) AS total, arg_max(entry, (size, -entry)) AS entry, max(size) AS size FROM s GROUP BY kind""",
 }
