@@ -169,11 +169,11 @@ def miscased_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deletable_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hidden families (suppliers in the red) without an entry, a mention in the log, or a merge: three anti joins."""
-    s = read(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("family_id"), "s_name")
-    sold = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_suppkey").alias("family_id"))
-    told = read(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("user_id").alias("family_id"))
-    gone = read(spark, sf_dir, "part").where("p_partkey % 7 = 0").select(F.col("p_size").cast("long").alias("family_id"))
+    """Hidden families (suppliers with little on their account) without an entry, a mention in the log, or a merge: three anti joins."""
+    s = read(spark, sf_dir, "supplier").where("s_acctbal < 3000").select(F.col("s_suppkey").alias("family_id"), "s_name")
+    sold = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 49 and l_discount > 0.09").select(F.col("l_suppkey").alias("family_id"))
+    told = read(spark, sf_dir, "events").where("event_type = 'signup' and value > 95").select(F.col("user_id").alias("family_id"))
+    gone = read(spark, sf_dir, "part").where("p_partkey % 70 = 0").select(F.col("p_size").cast("long").alias("family_id"))
     for other in (sold, told, gone):
         s = s.join(other, "family_id", "left_anti")
     return s
@@ -197,7 +197,8 @@ def suspects_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def empty_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = offers(spark, sf_dir).select("variant_id").distinct()
+    """Variants without a new listing above 60,000."""
+    seen = offers(spark, sf_dir).where("condition = 'new' and price > 60000").select("variant_id").distinct()
     return variants(spark, sf_dir).join(seen, "variant_id", "left_anti").select("variant_id", "brand")
 
 
@@ -244,7 +245,7 @@ SELECT v.brand, count(*) AS variants, count(DISTINCT model) AS families, coalesc
     "suspects_word_order": f"""WITH {VARIANTS} SELECT list_aggregate(list_sort(regexp_extract_all(lower(replace(model, '+', ' plus ')), '[0-9a-z]+')), 'string_agg', ' ') AS bag, count(*) AS entries, count(DISTINCT model) AS names, min(model) AS first FROM variants GROUP BY ALL HAVING count(*) > 1""",
     "barcode_duplicates": f"""WITH {OFFERS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variant_id, shop_id ORDER BY seen_at DESC, offer_id DESC) AS n FROM offers) WHERE n = 1)
 SELECT offer_id % 29989 AS gtin, min(variant_id) AS a, max(variant_id) AS b FROM l GROUP BY ALL HAVING count(DISTINCT variant_id) = 2""",
-    "empty_families": f"WITH {VARIANTS} SELECT variant_id, brand FROM variants WHERE variant_id NOT IN (SELECT l_partkey FROM lineitem)",
+    "empty_families": f"WITH {VARIANTS} SELECT variant_id, brand FROM variants WHERE variant_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N' AND l_extendedprice > 60000)",
     "alias_candidates": f"""WITH {VARIANTS}, w AS (SELECT brand, variant_id, unnest(string_split(lower(title), ' ')) AS word FROM variants), c AS (SELECT word, brand, count(DISTINCT variant_id) AS entries FROM w GROUP BY ALL HAVING count(DISTINCT variant_id) >= 2)
 SELECT word, brand, entries FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY entries DESC, brand) AS n FROM c) WHERE n = 1""",
     "dedupe_identifiers": f"""WITH {OFFERS} SELECT form, offer_id FROM (SELECT lpad(CAST(variant_id % 300 AS VARCHAR), 14, '0') AS form, offer_id, row_number() OVER (PARTITION BY variant_id % 300 ORDER BY CASE WHEN condition = 'new' THEN 0 ELSE 1 END, seen_at, offer_id) AS n FROM offers) WHERE n = 1""",
@@ -259,7 +260,7 @@ SELECT variant_id, model, becomes, n FROM x WHERE k = 1""",
     "misfiled": f"""WITH e AS ({ENTRY_FACTS}), m AS (SELECT *, first_value(model) OVER (PARTITION BY brand, category, variant_id % 50 ORDER BY variant_id) AS family_model FROM e) SELECT variant_id, model, family_model FROM m WHERE lower(model) <> lower(family_model)""",
     "miscased_families": f"""WITH e AS ({ENTRY_FACTS}), f AS (SELECT brand, model, list_aggregate(list_transform(string_split(lower(model), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS name FROM e)
 SELECT brand || '|' || name AS family, min(model) AS model, count(*) AS entries FROM f GROUP BY brand, name HAVING count(DISTINCT model) = 1 AND name <> min(model)""",
-    "deletable_families": "SELECT s_suppkey AS family_id, s_name FROM supplier WHERE s_acctbal < 0 AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) AND s_suppkey NOT IN (SELECT user_id FROM events WHERE event_type = 'signup') AND s_suppkey NOT IN (SELECT p_size FROM part WHERE p_partkey % 7 = 0)",
+    "deletable_families": "SELECT s_suppkey AS family_id, s_name FROM supplier WHERE s_acctbal < 3000 AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49 AND l_discount > 0.09) AND s_suppkey NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 95) AND s_suppkey NOT IN (SELECT p_size FROM part WHERE p_partkey % 70 = 0)",
     "stale_axes": f"""WITH e AS ({ENTRY_FACTS}), f AS ({LISTING_FACTS}), r AS (SELECT true_id AS variant_id, 'size' AS axis, size AS value FROM f UNION ALL SELECT true_id, 'colour', colour FROM f), u AS (SELECT variant_id, axis, min(value) AS reads, count(value) AS n FROM r GROUP BY ALL HAVING count(DISTINCT value) = 1),
 h AS (SELECT variant_id, 'size' AS axis, size AS held FROM e UNION ALL SELECT variant_id, 'colour', colour FROM e) SELECT variant_id, axis, held, reads, n FROM u JOIN h USING (variant_id, axis) WHERE reads IS DISTINCT FROM held""",
     "suspects_report": f"""WITH {_NEAR}, e AS ({ENTRY_FACTS}), s AS (SELECT 'near_value' AS kind, a AS entry, a_n + b_n AS size FROM near UNION ALL SELECT 'part_number', min(variant_id), count(*) FROM e GROUP BY brand, mpn HAVING count(*) > 1 AND count(DISTINCT size) <= 1 AND count(DISTINCT colour) <= 1)

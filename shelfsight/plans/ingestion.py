@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rewrite import upserted
-from ..sources.tables import OBSERVATIONS, observations
+from ..sources.tables import OBSERVATIONS, observations, read
 from .matching import LISTING_FACTS, _facts
 
 FIELDS = ("title", "brand_raw", "gtin", "mpn", "model", "price")
@@ -46,9 +46,10 @@ def coverage_of_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sellers_created(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sellers of marketplaces that accepted items name and nobody knows yet (those of the first batch are known)."""
-    rows = _items(spark, sf_dir).where("error is null and marketplace").select("batch", "seller")
-    return rows.groupBy("seller").agg(F.min("batch").alias("first_batch"), F.count("*").alias("items")).where("first_batch > 0")
+    """Sellers of marketplaces that accepted items name and nobody knows yet (two of each supplier's are known)."""
+    named = _items(spark, sf_dir).where("error is null and marketplace").groupBy("seller").agg(F.min("batch").alias("first_batch"), F.count("*").alias("items"))
+    known = read(spark, sf_dir, "supplier").select(F.explode(F.array(F.col("s_suppkey") * 10, F.col("s_suppkey") * 10 + 1)).alias("number")).select(F.concat(F.lit("m"), F.col("number").cast("string")).alias("seller"))
+    return named.join(known, "seller", "left_anti")
 
 
 def offers_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +92,7 @@ ORACLES = {
     "batch_report": f"WITH {_I} SELECT batch, coalesce(error, 'accepted') AS outcome, count(*) AS items FROM items GROUP BY ALL",
     "batch_coverage": f"WITH {_I} SELECT batch, count(*) AS accepted, {_SHARE} FROM items WHERE error IS NULL GROUP BY batch",
     "coverage_of_pass": f"WITH {_I}, c AS (SELECT batch, count(*) AS accepted, {_SHARE} FROM items WHERE error IS NULL GROUP BY batch) SELECT CAST(sum(accepted) AS BIGINT) AS accepted, {', '.join(f'CAST(round(sum({f} * accepted) / sum(accepted), 4) AS DECIMAL(10,4)) AS {f}' for f in FIELDS)} FROM c",
-    "sellers_created": f"WITH {_I} SELECT seller, min(batch) AS first_batch, count(*) AS items FROM items WHERE error IS NULL AND marketplace GROUP BY seller HAVING min(batch) > 0",
+    "sellers_created": f"WITH {_I} SELECT seller, min(batch) AS first_batch, count(*) AS items FROM items WHERE error IS NULL AND marketplace AND seller NOT IN (SELECT 'm' || (s_suppkey * 10 + k) FROM supplier, range(2) r(k)) GROUP BY seller",
     "offers_upserted": f"""WITH {_I}, n AS (SELECT seller, external_id, offer_id, price, title FROM (SELECT *, row_number() OVER (PARTITION BY seller, external_id ORDER BY seen_at DESC, offer_id DESC) AS k FROM items WHERE error IS NULL) WHERE k = 1 AND offer_id % 2 = 0)
 SELECT * FROM n UNION ALL SELECT seller, external_id, min(offer_id), NULL, 'as it was' FROM items i WHERE error IS NULL AND batch = 0 AND NOT EXISTS (SELECT 1 FROM n WHERE n.seller = i.seller AND n.external_id = i.external_id) GROUP BY seller, external_id""",
     "readings_applied": f"""WITH {OBSERVATIONS}, l AS (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY obs_at DESC, event_id DESC) AS k FROM observations), f AS (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY obs_at DESC, event_id DESC) AS k FROM observations WHERE event_type <> 'click')
