@@ -273,3 +273,16 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)
+
+
+#: In SQL: pairs from an index of shingles, and the least id that links reach.
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [md5(array_to_string(w, ' '))] ELSE list_transform(range(1, len(w) - 2), lambda i: md5(array_to_string(w[i:i + 3], ' '))) END) AS keys FROM d),
+c AS (SELECT min(doc_id) AS id, keys, len(keys) AS n FROM (SELECT doc_id, list_sort(keys) AS keys FROM s WHERE len(keys) > 0) GROUP BY keys),
+k AS MATERIALIZED (SELECT id, n, unnest(keys) AS key FROM c),
+l AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.key = b.key AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT id, id AS far FROM c UNION SELECT r.id, l.b FROM r JOIN l ON r.far = l.a),
+g AS (SELECT id, min(far) AS least FROM r GROUP BY id)
+SELECT s.doc_id, len(s.keys) AS n_shingles, coalesce(g.least, s.doc_id) AS component_id, coalesce(g.least, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN c ON c.keys = list_sort(s.keys) LEFT JOIN g ON g.id = c.id
+"""

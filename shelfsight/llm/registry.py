@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .op1_topk import OP1_SQL, op1_topk
 from .op2_html import op2_html
 from .op3_substring_dedup import OP3_SQL, op3_substring_dedup
-from .op4_near_dedup import op4_near_dedup
+from .op4_near_dedup import OP4_SQL, op4_near_dedup
 from .op5_token_counts import op5_token_counts
 from .op6_mixing import OP6_SQL, op6_mixing
 from .op7_packing import op7_packing
@@ -33,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_topk": OP1_SQL,
     "op3_substring_dedup": OP3_SQL,
+    "op4_near_dedup": OP4_SQL,
     "op6_mixing": OP6_SQL,
     "op9_neighbours": OP9_SQL,
     "op10_pii": OP10_SQL,

@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ..operators.saved import saved, shared_dir  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all run on this machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, in a session whose Arrow batches hold at most `rows` rows: whole texts are large, and two batches are held at a time."""
+    """df, in a session whose Arrow batches hold at most `rows` rows from now on: whole texts are large, and two batches are held at a time.
+
+    Spark reads this setting when a plan runs, so it can't be set back here; a smaller one is left as it is.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(df.sparkSession.conf.get(name, "10000"))
     if now <= 0 or now > rows:
@@ -36,14 +24,6 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df as a written table: its lineage ends here, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def spare(columns: Sequence[str], stem: str) -> str:
     """stem with underscores before it, so that no column's name begins with it, whatever its case."""
     while any(c.lower().startswith(stem.lower()) for c in columns):
