@@ -108,4 +108,6 @@ SELECT v.doc_id, l.score AS newest FROM verdicts v JOIN l ON v.source = l.source
     "conversation_turns": """WITH m AS (SELECT *, lag(turn) OVER w AS before, lag(role) OVER w AS asked_by FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
 SELECT conv_id, turn, before, asked_by, CAST(len(text) AS INTEGER) AS n_chars FROM m WHERE role = 'assistant' AND before IS NOT NULL""",
     "brand_forms": "SELECT s_suppkey, lower(s_name) AS brand, regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g') || '-' || s_suppkey AS slug FROM supplier",
+    # payloads of one field: keys are in order, so only white space goes
+    "payload_hashes": f"WITH {OBSERVATIONS} SELECT offer_id, sha256(regexp_replace(props, '\\s', '', 'g')) AS content, arg_min(event_id, (obs_at, event_id)) AS event_id, max(obs_at) AS last_seen, count(*) AS seen FROM observations GROUP BY ALL",
 }
