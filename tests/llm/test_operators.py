@@ -233,6 +233,12 @@ def test_tree_matching_keeps_order():
     assert op2_html.match_trees("a;", "b;") == (-1,)
 
 
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(i * 7919 % 1009, (i + 1) * 7919 % 1009) for i in range(200)], "a long, b long")
+    nodes = {i * 7919 % 1009 for i in range(201)}
+    assert {(r.node, r.root) for r in components(edges).collect()} == {(n, min(nodes)) for n in nodes}
+
+
 # 3
 
 
@@ -250,7 +256,7 @@ def brute_repeats(rows, size):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [2, 64])
+@pytest.mark.parametrize("hot", [2, op3_substring_dedup.HOT])
 def test_repeats(docs, rows, hot):
     got = op3_substring_dedup.remove_repeats(docs, hot=hot, shard=20)
     assert sorted(map(tuple, got.collect()), key=repr) == brute_repeats(rows, 35)
