@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.matching import CONFIDENCE, agreement, axes, brand_lookup, ladder, unpublished_axes
 from ..operators.rewrite import merged, upserted
+from ..operators.saved import saved
 from ..sources.tables import read
 
 AXES = ["size", "colour"]
@@ -76,6 +77,7 @@ def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = entries(spark, sf_dir)
     silent = unpublished(spark, sf_dir).groupBy("channel").agg(F.array_sort(F.collect_set("axis")).alias("excused"))
     listings = _lookup(spark, sf_dir).join(silent, "channel", "left").withColumn("excused", F.coalesce("excused", F.array().cast("array<string>")))
+    listings = saved(listings.drop("size", "colour"))  # questions are made of them, and answered
     return ladder(listings, known, known.select("gtin", "variant_id", "learned"), known.select("brand", "mpn", "variant_id"), categories(spark, sf_dir), AXES)
 
 
