@@ -151,9 +151,9 @@ def ladder(listings: DataFrame, entries: DataFrame, gtins: DataFrame, mpns: Data
     whole = F.col("taken") & F.col("complete")
     rungs = pairs.groupBy("question", "rung").agg(
         F.count_if("taken").alias("n"), F.min(F.when(F.col("taken"), F.col("variant_id"))).alias("one"), F.count_if(whole).alias("c_n"), F.min(F.when(whole, F.col("variant_id"))).alias("c"),
-        F.count_if(F.col("unverifiable") & ~F.col("strict")).alias("u_n"), *[F.countDistinct(F.when(F.col("taken"), F.col("held")[x])).alias(f"kinds_{x}") for x in axis_names],
+        F.count_if(F.col("unverifiable") & ~F.col("strict")).alias("u_n"), *[of(F.when(F.col("taken"), F.col("held")[x])).alias(f"{end}_{x}") for x in axis_names for end, of in (("low", F.min), ("high", F.max))],
     )
-    every = F.struct("n", "one", "c_n", "c", "u_n", *[f"kinds_{x}" for x in axis_names])
+    every = F.struct("n", "one", "c_n", "c", "u_n", *[f"{end}_{x}" for x in axis_names for end in ("low", "high")])
     best = lambda low, high: F.min_by(F.when(F.col("rung").between(low, high), every), F.when(F.col("rung").between(low, high), F.col("rung")))
     rows = rungs.groupBy("question").agg(best(0, 0).alias("g"), best(1, 1).alias("p"), best(2, 4).alias("m"))
 
@@ -163,7 +163,7 @@ def ladder(listings: DataFrame, entries: DataFrame, gtins: DataFrame, mpns: Data
     complete = F.when(method == "gtin", F.col("g.c_n") == 1).when(method == "brand_mpn", F.col("p.c_n") == 1).when(method == "brand_model", (F.col("m.c_n") == 1) & (sole == F.col("m.c")))
     answers = rows.select("question", method.alias("method"), found.alias("found"), F.coalesce(complete, F.lit(False)).alias("complete"), "g", "p", "m")
 
-    silent = reduce(or_, [(F.col(f"m.kinds_{x}") > 1) & ~F.map_contains_key("axes", x) for x in axis_names], F.lit(False))
+    silent = reduce(or_, [(F.col(f"m.low_{x}") != F.col(f"m.high_{x}")) & ~F.map_contains_key("axes", x) for x in axis_names], F.lit(False))
     several = F.when((F.col("g.n") > 1) | (F.col("p.n") > 1), "ambiguous").when(F.col("m.n") > 1, F.when(silent, "axis_unpublished").otherwise("ambiguous")).when(F.col("m.u_n") > 0, "low_confidence")
     nothing = (
         F.when(F.coalesce("gtin", "mpn", "model", "brand_raw").isNull(), "no_signals").when(F.col("gtin").isNotNull(), "signals_unmatched").when(F.col("brand_state") == "ambiguous", "brand_ambiguous")
