@@ -30,7 +30,7 @@ def without_prefix(x: Column, brand: Column) -> Column:
 
 
 def brand_lookup(listings: DataFrame, aliases: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-    """listings (offer_id, brand_raw, title, model) with brand and brand_state.
+    """listings (offer_id, brand_raw, title, model; each offer_id once) with brand and brand_state.
 
     aliases: alias (in lower case), brand. A field that means one maker is resolved; one that means
     several is ambiguous unless a verdict (offer_id, choice; null for none of them) settles it; where
@@ -43,22 +43,19 @@ def brand_lookup(listings: DataFrame, aliases: DataFrame, verdicts: DataFrame |
     rows = listings.withColumn("_field", F.trim(F.lower("brand_raw"))).withColumn("_t", words(F.col("title"))).withColumn("_m", words(F.col("model")))
     unreadable = F.col("brand_raw").isNotNull() & (F.regexp_replace("_field", r"[\W_]", "") == "")
 
-    def looked(rows: DataFrame, key: Column, name: str) -> DataFrame:
-        side = known.select(F.col("alias").alias(f"_{name}_alias"), F.col("n").alias(f"_{name}_n"), F.col("one").alias(f"_{name}"))
-        return rows.join(side, key == side[f"_{name}_alias"], "left").drop(f"_{name}_alias")
-
-    rows = looked(rows, F.col("_field"), "f")
-    for name, key in (("t2", start(F.col("_t"), 2)), ("t1", start(F.col("_t"), 1)), ("m2", start(F.col("_m"), 2)), ("m1", start(F.col("_m"), 1))):
-        rows = looked(rows, key, name)
-    single = lambda name: F.when(F.col(f"_{name}_n") == 1, F.col(f"_{name}"))
-    edge = F.coalesce(single("t2"), single("t1"), single("m2"), single("m1"))
+    # every name that a listing may hold meets the aliases in one join, and each listing gets what was found by one aggregation
+    word = F.transform(F.array_distinct("_t"), lambda w: F.struct(F.lit("any").alias("kind"), F.regexp_replace(w, r"^[(),.:;/]+|[(),.:;/]+$", "").alias("alias")))
+    edges = [("f", F.col("_field")), ("t2", start(F.col("_t"), 2)), ("t1", start(F.col("_t"), 1)), ("m2", start(F.col("_m"), 2)), ("m1", start(F.col("_m"), 1))]
+    names = F.filter(F.concat(F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("alias")) for kind, key in edges]), word), lambda x: x["alias"].isNotNull() & (x["alias"] != ""))
+    met = rows.select("offer_id", F.explode(names).alias("x")).select("offer_id", "x.*").join(known, "alias")
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    sole = lambda kind: F.when((F.col("kind") == kind) & (F.col("n") == 1), F.col("one"))
+    found = met.groupBy("offer_id").agg(F.max(of("f", "n")).alias("_f_n"), F.max(of("f", "one")).alias("_f"), *[F.max(sole(k)).alias(f"_{k}") for k in ("t2", "t1", "m2", "m1")], F.min(sole("any")).alias("_low"), F.max(sole("any")).alias("_high"))
+    rows = rows.join(found, "offer_id", "left")
     open_field = F.col("_f_n").isNull() & ~F.coalesce(unreadable, F.lit(False))
-    rows = rows.withColumn("_edge", F.when(open_field, edge)).withColumn("_ask", open_field & F.col("_edge").isNull())
-    # anywhere in the title: only for those that need it
-    each = rows.where("_ask").select("offer_id", F.explode(F.array_distinct(F.transform("_t", lambda w: F.regexp_replace(w, r"^[(),.:;/]+|[(),.:;/]+$", "")))).alias("alias"))
-    named = each.join(known.where("n = 1"), "alias").groupBy("offer_id").agg(F.countDistinct("one").alias("_makers"), F.min("one").alias("_maker"))
-    rows = rows.join(named, "offer_id", "left")
-    from_title = F.coalesce("_edge", F.when(F.col("_makers") == 1, F.col("_maker")))
+    edge = F.when(open_field, F.coalesce("_t2", "_t1", "_m2", "_m1"))
+    rows = rows.withColumn("_edge", edge).withColumn("_maker", F.when(F.col("_low") == F.col("_high"), F.col("_low")))
+    from_title = F.coalesce("_edge", "_maker")
     if verdicts is not None:
         rows = rows.join(verdicts.select("offer_id", F.col("choice").alias("_choice"), F.lit(True).alias("_judged")), "offer_id", "left")
     else:
