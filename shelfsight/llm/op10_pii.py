@@ -24,8 +24,6 @@ the input may have any names; working columns get names that none of them has.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 

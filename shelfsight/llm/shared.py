@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.saved import saved, shared_dir  # noqa: F401
+from ..operators.saved import saved  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 
