@@ -16,6 +16,7 @@ from .op7_packing import op7_packing
 from .op8_quality import op8_quality
 from .op9_neighbours import OP9_SQL, op9_neighbours
 from .op10_pii import OP10_SQL, op10_pii
+from .op11_token_files import op11_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_neighbours": op9_neighbours,
     "op10_pii": op10_pii,
+    "op11_token_files": op11_token_files,
 }
 
 ORACLES: dict[str, str] = {
