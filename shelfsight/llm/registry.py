@@ -17,6 +17,8 @@ from .op8_quality import op8_quality
 from .op9_neighbours import OP9_SQL, op9_neighbours
 from .op10_pii import OP10_SQL, op10_pii
 from .op11_token_files import op11_token_files
+from .op12_clusters import OP12_SQL, op12_clusters
+from .op13_spelling import OP13_SQL, op13_spelling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
@@ -30,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neighbours": op9_neighbours,
     "op10_pii": op10_pii,
     "op11_token_files": op11_token_files,
+    "op12_clusters": op12_clusters,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
@@ -39,4 +43,6 @@ ORACLES: dict[str, str] = {
     "op6_mixing": OP6_SQL,
     "op9_neighbours": OP9_SQL,
     "op10_pii": OP10_SQL,
+    "op12_clusters": OP12_SQL,
+    "op13_spelling": OP13_SQL,
 }
