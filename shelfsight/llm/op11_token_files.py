@@ -35,6 +35,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,18 +46,30 @@ from pyspark.sql import functions as F
 
 from ..operators.saved import shared_dir
 from .shared import running, saved, small_batches
+from .words import slices
 
 SIZE, END = 2048, 0
 #: Sequences of a batch: 256 KB of 16-bit ids.
 ROWS = 64
-#: Chunks whose ids a task keeps at most, and their bytes (a chunk may be as long as a text).
-CACHE, CACHE_BYTES = 500_000, 64_000_000
+#: Chunks (and their parts) whose ids a task keeps at most, those that stay when there are more (the first met, so the common ones), and their bytes (a chunk may be as long as a text).
+CACHE, COMMON, CACHE_BYTES = 500_000, 250_000, 64_000_000
+#: Bytes of text whose chunks are looked up together.
+GROUP_BYTES = 900_000
 #: Documents of a batch of the index.
 INDEX = 4096
 
 _chunks = re.compile(rb" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]").findall
-#: White space of Unicode and controls on which libraries differ, and what may begin an added token.
-_odd = re.compile(rb"<\||[\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf").search
+#: White space of Unicode and controls on which libraries differ, and what may begin an added token; told by the first byte, then by what follows it.
+_odd = re.compile(
+    rb"[\x0b\x0c\x1c-\x1f<\xc2\xe1-\xe3\xef](?:(?<=[\x0b\x0c\x1c-\x1f])|(?<=<)\||(?<=\xc2)[\x85\xa0]|(?<=\xe1)(?:\x9a\x80|\xa0\x8e)|(?<=\xe2)(?:\x80[\x80-\x8f\xa8-\xaf]|\x81\x9f)|(?<=\xe3)\x80\x80|(?<=\xef)\xbb\xbf)"
+).search
+
+
+#: Characters on whose kind all versions of Unicode agree; the vocabulary's own splitter over them, a line end standing after each chunk.
+_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f\u0400-\u0481\u048a-\u04ff\u4e00-\u9fa5"
+_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_settled = re.compile(f"[{_LETTER}{_NUMBER}\x20-\x7e\n\xa1-\xbf\xd7\xf7\u2010-\u2027\u2030-\u205e\u20ac]*").fullmatch
+_parts = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+|\n| ?[^ \n{_LETTER}{_NUMBER}]+").findall
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -74,25 +87,75 @@ class ByteTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        words = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(words.values()) + 1, np.int64)  # bytes of each piece: a character of a byte-level vocabulary is a byte
+        self.lengths[list(words.values())] = list(map(len, words))
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.held = 0
 
     def encoded(self, texts: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
-    def ids(self, text: bytes) -> bytes:
-        if _odd(text):
-            return self.encoded([text])[0]
-        chunks = _chunks(text)
-        got = list(map(self.known.get, chunks))
-        if None in got:
-            new = list({c for c, x in zip(chunks, got) if x is None})
-            if self.held > CACHE_BYTES or len(self.known) > CACHE:
-                self.known, self.held, new = {}, 0, list(set(chunks))
-            self.known.update(zip(new, self.encoded(new)))
-            self.held += sum(map(len, new))
-            got = map(self.known.__getitem__, chunks)
-        return b"".join(got)
+    def learn(self, chunks: list[bytes]) -> None:
+        """Ids of chunks, from those of their parts where the splitter's parts are sure; others are encoded one by one."""
+        sure = [c for c in chunks if c[-1] not in b" \t\n\r"]
+        text = b"\n".join([*sure, b""]).decode("utf-8", "replace")
+        if not _settled(text):
+            sure = [c for c in sure if _settled(c.decode("utf-8", "replace"))]
+            text = b"\n".join([*sure, b""]).decode()
+        cut = _parts(text)
+        parts = self.parts
+        parts["\n"] = b""
+        self.learn_parts([p for p in dict.fromkeys(cut) if p not in parts])
+        got = [parts[p] for p in cut]
+        last = np.fromiter(map("\n".__eq__, cut), bool, len(cut))
+        body, stops = b"".join(got), np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))[last].tolist()
+        self.known.update(zip(sure, [body[a:b] for a, b in zip([0, *stops], stops)]))
+        if len(sure) < len(chunks):
+            rest = list(set(chunks).difference(sure))
+            self.known.update(zip(rest, self.encoded(rest)))
+        self.held += sum(map(len, chunks))
+
+    def learn_parts(self, new: list[str]) -> None:
+        """Parts are encoded in one text and told apart by the bytes of its pieces; a line end keeps one without a space from the one before."""
+        if not new:
+            return
+        joined = [p.encode() if p[0] == " " else b"\n" + p.encode() for p in new]
+        ids = np.frombuffer(self.encoded([b"".join(joined)])[0], self.kind)
+        ends = np.cumsum(self.lengths[ids])
+        bounds = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
+        stops = np.searchsorted(ends, bounds) + 1
+        if stops[-1] == len(ids) and (ends[stops - 1] == bounds).all():
+            starts = np.concatenate([[0], stops[:-1]]) + np.fromiter((p[0] != " " for p in new), np.int64, len(new))
+            body, n = ids.tobytes(), self.kind.itemsize
+            self.parts.update(zip(new, [body[a:b] for a, b in zip((starts * n).tolist(), (stops * n).tolist())]))
+        else:  # another kind of vocabulary
+            self.parts.update(zip(new, self.encoded([p.encode() for p in new])))
+        self.held += sum(map(len, new))
+
+    def forget(self) -> None:
+        """Back to the common ones where there are too many, and to none where too long ones were met."""
+        keep = COMMON if self.held <= CACHE_BYTES else 0
+        self.known, self.parts = (dict(islice(x.items(), keep)) if len(x) > CACHE or not keep else x for x in (self.known, self.parts))
+        self.held = sum(map(len, self.known)) + sum(map(len, self.parts))
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        out: list[bytes | None] = [self.encoded([t])[0] if _odd(t) else None for t in texts]
+        plain = [i for i, x in enumerate(out) if x is None]
+        if self.held > CACHE_BYTES or max(len(self.known), len(self.parts)) > CACHE:
+            self.forget()
+        chunks = [_chunks(texts[i]) for i in plain]
+        found = [list(map(self.known.get, some)) for some in chunks]
+        short = [i for i, got in enumerate(found) if None in got]
+        if short:
+            self.learn(list({c for i in short for c, x in zip(chunks[i], found[i]) if x is None}))
+            known = self.known
+            for i in short:
+                found[i] = [known[c] if x is None else x for c, x in zip(chunks[i], found[i])]
+        for i, got in zip(plain, found):
+            out[i] = b"".join(got)
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -177,6 +240,13 @@ class TokenFile:
         return sum(self.reader.get_batch(i).column("mask").flatten().true_count for i in range(self.reader.num_record_batches))
 
 
+def _encoded(tokens: ByteTokens, batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+    """doc_id and ids of the batch's texts, GROUP_BYTES of text at once."""
+    for part in slices(batch, "text", GROUP_BYTES):
+        texts = [t or b"" for t in part.column("text").cast(pa.large_binary()).to_pylist()]
+        yield from zip(part.column("doc_id").to_pylist(), tokens.ids(texts))
+
+
 def _write(batches: Iterator[pa.RecordBatch], path: str, to: str, size: int, rows: int, end: int) -> Iterator[pa.RecordBatch]:
     tokens = _tokens(path)
     last = np.array([end], tokens.kind).tobytes()
@@ -191,8 +261,8 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, to: str, size: int, row
             system.create_dir(folder, recursive=True)
             sinks = [system.open_output_stream(f"{folder}/{name}.{x}.arrow") for x in ("ids", "docs")]
             files = SequenceWriter(sinks[0], tokens.kind, size, rows), pa.ipc.new_file(sinks[1], index)
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary())):
-            ids = (tokens.ids(text.as_py()) if text.is_valid else b"") + last
+        for doc, ids in _encoded(tokens, batch):
+            ids += last
             files[0].add(ids)
             n = len(ids) // tokens.kind.itemsize
             docs.append((doc, total, n))
