@@ -1,71 +1,70 @@
 """From a listing's signals to a catalogue entry: brands, agreement of axes, and the ladder of rungs.
 
-Axes are maps of text. Listings that say the same are one question: candidates meet
-questions, not listings, so a popular model costs one row for each different question
-and entry, and each listing gets its question's answer by one join.
+Axes are maps of text. Each rung is asked for itself: its questions are the different
+(signal, axes) of all listings, and they meet classes of entries (those of one key, axes and
+category, with their number and least id), so a popular model costs one row for each of its different
+questions and classes, however many listings and entries it has. A listing gets its rungs' answers
+by their keys; listings without a signal are dealt out by their id.
+
+Names are compared in their Unicode forms (`functions.unicode`), which are made once for each different name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import without_brand
+from ..functions.unicode import normalize_brand, normalize_model
+
 CONFIDENCE = {"gtin": "1.000", "brand_mpn": "0.950", "brand_model": "0.800", "human": "1.000"}
 UNPUBLISHED_SHARE, UNPUBLISHED_LEAST = 10, 50
-
-
-def model_key(x: Column) -> Column:
-    """ASCII form of a model: letters and digits of its lower case, a plus being a word."""
-    return F.nullif(F.regexp_replace(F.replace(F.lower(x), F.lit("+"), F.lit("plus")), "[^0-9a-z]", ""), F.lit(""))
-
-
-def without_prefix(x: Column, brand: Column) -> Column:
-    """x without the brand before it, where a space follows the brand."""
-    head = F.concat(F.lower(brand), F.lit(" "))
-    return F.when(F.lower(x).startswith(head), F.trim(F.substring(x, F.length(head) + 1, F.length(x)))).otherwise(x)
+_NONE = lambda: F.array().cast("array<string>")
 
 
 def brand_lookup(listings: DataFrame, aliases: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """listings (offer_id, brand_raw, title, model; each offer_id once) with brand and brand_state.
 
-    aliases: alias (in lower case), brand. A field that means one maker is resolved; one that means
-    several is ambiguous unless a verdict (offer_id, choice; null for none of them) settles it; where
-    it means nothing, or says nothing, the first two words or the first one of the title, then of
-    the model, then the only maker named anywhere in the title.
+    aliases: alias, brand. A field that means one maker is resolved; one that means
+    several is ambiguous unless a verdict (offer_id, choice; null for none of them) settles it. Where
+    it means nothing, or nothing stands in it, the first two words or the first one of the title, then of
+    the model, then the only maker named anywhere in the title. A field of which nothing is left in a
+    brand's form is unreadable, and its title isn't asked.
     """
-    known = aliases.groupBy("alias").agg(F.countDistinct("brand").alias("n"), F.min("brand").alias("one"))
-    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
+    known = aliases.select(normalize_brand(F.col("alias")).alias("form"), "brand").groupBy("form").agg(F.countDistinct("brand").alias("n"), F.min("brand").alias("one")).where("form is not null")
+    words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda w: w != "")
     start = lambda w, n: F.when(F.size(w) >= n, F.array_join(F.slice(w, 1, n), " "))
-    rows = listings.withColumn("_field", F.trim(F.lower("brand_raw"))).withColumn("_t", words(F.col("title"))).withColumn("_m", words(F.col("model")))
-    unreadable = F.col("brand_raw").isNotNull() & (F.regexp_replace("_field", r"[\W_]", "") == "")
+    rows = listings.withColumn("_field", F.nullif("brand_raw", F.lit(""))).withColumn("_t", words(F.col("title"))).withColumn("_m", words(F.col("model")))
 
-    # every name that a listing may hold meets the aliases in one join, and each listing gets what was found by one aggregation
-    word = F.transform(F.array_distinct("_t"), lambda w: F.struct(F.lit("any").alias("kind"), F.regexp_replace(w, r"^[(),.:;/]+|[(),.:;/]+$", "").alias("alias")))
+    # each different name gets its form and its makers once; each listing gets what was found by one aggregation
+    word = F.transform(F.array_distinct("_t"), lambda w: F.struct(F.lit("any").alias("kind"), F.regexp_replace(w, r"^[(),.:;/]+|[(),.:;/]+$", "").alias("name")))
     edges = [("f", F.col("_field")), ("t2", start(F.col("_t"), 2)), ("t1", start(F.col("_t"), 1)), ("m2", start(F.col("_m"), 2)), ("m1", start(F.col("_m"), 1))]
-    names = F.filter(F.concat(F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("alias")) for kind, key in edges]), word), lambda x: x["alias"].isNotNull() & (x["alias"] != ""))
-    met = rows.select("offer_id", F.explode(names).alias("x")).select("offer_id", "x.*").join(known, "alias")
+    names = F.filter(F.concat(F.array(*[F.struct(F.lit(kind).alias("kind"), name.alias("name")) for kind, name in edges]), word), lambda x: x["name"].isNotNull() & (x["name"] != ""))
+    said = rows.select("offer_id", F.explode(names).alias("x")).select("offer_id", "x.*")
+    formed = said.select("name").distinct().withColumn("form", normalize_brand(F.col("name")))
+    meant = formed.join(known, "form", "left").where("n is not null or form is null").select("name", F.coalesce("n", F.lit(0)).alias("n"), "one")
+    met = said.join(meant, "name")
     of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
     sole = lambda kind: F.when((F.col("kind") == kind) & (F.col("n") == 1), F.col("one"))
     found = met.groupBy("offer_id").agg(F.max(of("f", "n")).alias("_f_n"), F.max(of("f", "one")).alias("_f"), *[F.max(sole(k)).alias(f"_{k}") for k in ("t2", "t1", "m2", "m1")], F.min(sole("any")).alias("_low"), F.max(sole("any")).alias("_high"))
     rows = rows.join(found, "offer_id", "left")
-    open_field = F.col("_f_n").isNull() & ~F.coalesce(unreadable, F.lit(False))
-    edge = F.when(open_field, F.coalesce("_t2", "_t1", "_m2", "_m1"))
-    rows = rows.withColumn("_edge", edge).withColumn("_maker", F.when(F.col("_low") == F.col("_high"), F.col("_low")))
-    from_title = F.coalesce("_edge", "_maker")
+    unreadable = F.coalesce(F.col("_f_n") == 0, F.lit(False))
+    from_title = F.coalesce("_t2", "_t1", "_m2", "_m1", F.when(F.col("_low") == F.col("_high"), F.col("_low")))
     if verdicts is not None:
         rows = rows.join(verdicts.select("offer_id", F.col("choice").alias("_choice"), F.lit(True).alias("_judged")), "offer_id", "left")
     else:
         rows = rows.withColumn("_choice", F.lit(None).cast("string")).withColumn("_judged", F.lit(None).cast("boolean"))
     several = F.col("_f_n") > 1
-    brand = F.when(F.col("_f_n") == 1, F.col("_f")).when(several, F.col("_choice")).when(open_field, from_title)
+    brand = F.when(F.col("_f_n") == 1, F.col("_f")).when(several, F.col("_choice")).when(~unreadable, from_title)
     state = (
-        F.when(F.coalesce(unreadable, F.lit(False)), "unreadable").when(F.col("_f_n") == 1, "resolved")
+        F.when(unreadable, "unreadable").when(F.col("_f_n") == 1, "resolved")
         .when(several, F.when(F.col("_choice").isNotNull(), "resolved_judge").when(F.col("_judged"), "judged_none").otherwise("ambiguous"))
-        .when(from_title.isNotNull(), "resolved_title").when(F.col("brand_raw").isNull(), "none_given").otherwise("unknown")
+        .when(from_title.isNotNull(), "resolved_title").when(F.col("_field").isNull(), "none_given").otherwise("unknown")
     )
     return rows.select(*listings.columns, brand.alias("brand"), state.alias("brand_state"))
 
@@ -107,64 +106,91 @@ def unpublished_axes(latest: DataFrame, names: list[str]) -> DataFrame:
     return counts.where((F.col("n") >= UNPUBLISHED_LEAST) & (F.col("stated") * UNPUBLISHED_SHARE < F.col("n")))
 
 
+def _compared(axis_names: list[str], excused: bool) -> Agreement:
+    """`agreement` over columns x_ (what a question says), h_ (what a class holds), r_ (what its category requires, or r_any) and e_ (excused)."""
+    every = lambda of: reduce(and_, map(of, axis_names))
+    some = lambda of: reduce(or_, map(of, axis_names))
+    says, both = lambda x: F.col(f"x_{x}").isNotNull(), lambda x: F.col(f"x_{x}").isNotNull() & F.col(f"h_{x}").isNotNull()
+    needs = lambda x: F.when(F.col("r_any"), F.col(f"r_{x}")).otherwise(says(x)) & (~F.col(f"e_{x}") if excused else F.lit(True))
+    equal = every(lambda x: ~both(x) | (F.col(f"x_{x}") == F.col(f"h_{x}")))
+    checked, shared, equal = some(says), some(both), F.coalesce(equal, F.lit(True))
+    return Agreement(checked, ~checked | (shared & equal), checked & ~shared, checked & shared & equal & every(lambda x: ~needs(x) | both(x)))
+
+
+def _answers(asked: DataFrame, classes: DataFrame, by: list[str], takes: Callable[[Agreement], Column], axis_names: list[str], excused: bool = False) -> DataFrame:
+    """For each question (by) what it finds among classes of its key: n and one of those taken, c_n and c of the complete ones, u_n that nothing could check, and the bounds of the axes of those taken."""
+    a = _compared(axis_names, excused)
+    pairs = asked.where("key is not null").join(classes, "key").select(*by, "many", "variant_id", *[f"h_{x}" for x in axis_names], takes(a).alias("taken"), a.complete.alias("complete"), a.unverifiable.alias("unverifiable"))
+    whole = F.col("taken") & F.col("complete")
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("many"))), F.lit(0))
+    bounds = [of(F.when(F.col("taken"), F.col(f"h_{x}"))).alias(f"{end}_{x}") for x in axis_names for end, of in (("low", F.min), ("high", F.max))]
+    return pairs.groupBy(*by).agg(
+        total(F.col("taken")).alias("n"), F.min(F.when(F.col("taken"), F.col("variant_id"))).alias("one"), total(whole).alias("c_n"), F.min(F.when(whole, F.col("variant_id"))).alias("c"), total(F.col("unverifiable")).alias("u_n"), *bounds
+    )
+
+
 def ladder(listings: DataFrame, entries: DataFrame, gtins: DataFrame, mpns: DataFrame, categories: DataFrame, axis_names: list[str]) -> DataFrame:
-    """listings with method, found, complete and reason.
+    """listings with strict, method, found, complete and reason.
 
     listings    offer_id, gtin, brand, brand_raw, brand_state, mpn, model, title, axes, category, excused (axes that its channel doesn't publish)
     entries     variant_id, brand, category, model, axes
     gtins       gtin, variant_id, learned (whether a match put it there)
     mpns        brand, mpn, variant_id
     categories  category, required (axes), strict
+    axis_names  all axes that there are
 
     A barcode needs one entry, those left out whose learned barcode the axes contradict; a part
     number one that the axes don't contradict; a model one that they confirm (in a strict category on
-    every required axis), or the only complete one of several.
+    every required axis that its channel publishes), or the only complete one of several.
     """
-    said = ["gtin", "brand", "mpn", "model", "title", "axes", "category", "excused"]
+    x, e = [f"x_{a}" for a in axis_names], [f"e_{a}" for a in axis_names]
     by = listings.join(categories.select("category", "strict"), "category", "left").withColumn("strict", F.coalesce("strict", F.lit(False)))
-    name = F.coalesce("model", "title")
-    keyed = by.withColumn("question", F.sha2(F.to_json(F.struct("gtin", "brand", F.lower("mpn").alias("mpn"), name.alias("m"), F.map_entries("axes").alias("a"), "category", "excused"), {"ignoreNullFields": "false"}), 256))
-    asked = keyed.groupBy("question").agg(*[F.first(c).alias(c) for c in [*said, "strict"]])
-
-    # one index of all signals, one row of a question for each of its keys, one join
-    within = lambda x: F.concat("brand", F.lit("|"), model_key(x))
-    index = gtins.groupBy(F.col("gtin").alias("key"), "variant_id").agg(F.bool_and("learned").alias("learned")).withColumn("kind", F.lit("gtin"))
-    index = index.unionByName(mpns.select(within(F.col("mpn")).alias("key"), "variant_id").distinct().withColumn("learned", F.lit(False)).withColumn("kind", F.lit("part")))
-    index = index.unionByName(entries.select(within(F.col("model")).alias("key"), "variant_id", F.lit(False).alias("learned"), F.lit("model").alias("kind")))
-    held = entries.join(categories.select("category", "required"), "category", "left").select("variant_id", F.col("axes").alias("held"), F.coalesce("required", F.array().cast("array<string>")).alias("required"))
-    index = index.where("key is not null").join(held, "variant_id")
-    forms = [("gtin", 0, F.col("gtin")), ("part", 1, within(F.col("mpn"))), ("model", 2, within(name)), ("model", 3, within(without_prefix(name, F.col("brand")))), ("model", 4, within(F.concat("brand", F.lit(" "), name)))]
-    forms = F.filter(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("rung"), key.alias("key")) for kind, i, key in forms]), lambda x: x["key"].isNotNull())
-    pairs = asked.select("question", "axes", "excused", "strict", F.explode(forms).alias("form")).select("*", "form.*").drop("form").join(index, ["kind", "key"])
-
-    of_model = F.col("kind") == "model"
-    a = agreement(F.col("axes"), F.col("held"), F.col("required"), F.when(of_model & F.col("strict"), F.col("excused")).otherwise(F.array().cast("array<string>")))
-    pairs = pairs.withColumn("agreed", a.agreed).withColumn("unverifiable", a.unverifiable).withColumn("complete", a.complete)
-    taken = (
-        F.when(F.col("kind") == "gtin", ~(F.col("learned") & a.checked & ~F.col("agreed"))).when(F.col("kind") == "part", F.col("agreed") | F.col("unverifiable"))
-        .otherwise(F.col("agreed") & (~F.col("strict") | F.col("complete")))
-    )
-    pairs = pairs.withColumn("taken", taken)
-    whole = F.col("taken") & F.col("complete")
-    rungs = pairs.groupBy("question", "rung").agg(
-        F.count_if("taken").alias("n"), F.min(F.when(F.col("taken"), F.col("variant_id"))).alias("one"), F.count_if(whole).alias("c_n"), F.min(F.when(whole, F.col("variant_id"))).alias("c"),
-        F.count_if(F.col("unverifiable") & ~F.col("strict")).alias("u_n"), *[of(F.when(F.col("taken"), F.col("held")[x])).alias(f"{end}_{x}") for x in axis_names for end, of in (("low", F.min), ("high", F.max))],
-    )
-    every = F.struct("n", "one", "c_n", "c", "u_n", *[f"{end}_{x}" for x in axis_names for end in ("low", "high")])
-    best = lambda low, high: F.min_by(F.when(F.col("rung").between(low, high), every), F.when(F.col("rung").between(low, high), F.col("rung")))
-    rows = rungs.groupBy("question").agg(best(0, 0).alias("g"), best(1, 1).alias("p"), best(2, 4).alias("m"))
-
+    by = by.select("*", *[F.col("axes")[a].alias(f"x_{a}") for a in axis_names], *[(F.col("strict") & F.array_contains("excused", a)).alias(f"e_{a}") for a in axis_names], F.coalesce(F.nullif("model", F.lit("")), F.nullif("title", F.lit(""))).alias("_name"))
+
+    wanted = F.coalesce("required", _NONE())
+    held = entries.join(categories.select("category", "required"), "category", "left")
+    held = held.select("variant_id", *[F.col("axes")[a].alias(f"h_{a}") for a in axis_names], *[F.array_contains(wanted, a).alias(f"r_{a}") for a in axis_names], (F.size(wanted) > 0).alias("r_any"))
+    own = [c for c in held.columns if c != "variant_id"]
+    classed = lambda rows, *key: rows.join(held, "variant_id").groupBy(*key, *own).agg(F.count("*").alias("many"), F.min("variant_id").alias("variant_id"))
+    within = lambda form: F.when(form != "", F.concat("brand", F.lit("|"), form))
+
+    coded = gtins.groupBy(F.col("gtin").alias("key"), "variant_id").agg(F.bool_and("learned").alias("learned"))
+    asked = by.where("gtin is not null").select("gtin", *x).distinct().withColumn("key", F.col("gtin"))
+    g = _answers(asked, classed(coded, "key", "learned"), ["gtin", *x], lambda a: ~(F.col("learned") & a.checked & ~a.agreed), axis_names)
+
+    parts = mpns.select(within(normalize_model(F.col("mpn"))).alias("key"), "variant_id").where("key is not null").distinct()
+    asked = by.where("brand is not null and mpn is not null").select("brand", "mpn", *x).distinct().withColumn("key", within(normalize_model(F.col("mpn"))))
+    p = _answers(asked, classed(parts, "key"), ["brand", "mpn", *x], lambda a: a.agreed | a.unverifiable, axis_names)
+
+    named = entries.select(within(normalize_model(F.col("model"))).alias("key"), "variant_id").where("key is not null")
+    asked = by.where("brand is not null and _name is not null").select("brand", "_name", "strict", *x, *e).distinct()
+    forms = asked.select("brand", "_name").distinct()
+    forms = forms.select("*", *[within(normalize_model(form)).alias(f"k{i}") for i, form in enumerate((F.col("_name"), without_brand(F.col("_name"), F.col("brand")), F.concat("brand", F.lit(" "), F.col("_name"))))])
+    forms = forms.select("brand", "_name", F.posexplode(F.array("k0", "k1", "k2")).alias("rung", "key"))
+    # the first form of a name that any entry has
+    forms = forms.join(named.select("key").distinct(), "key").groupBy("brand", "_name").agg(F.min_by("key", "rung").alias("key"))
+    m = _answers(asked.join(forms, ["brand", "_name"]), classed(named, "key"), ["brand", "_name", "strict", *x, *e], lambda a: a.agreed & (~F.col("strict") | a.complete), axis_names, excused=True)
+
+    def answered(rows: DataFrame, answers: DataFrame, to: str, key: list[str]) -> DataFrame:
+        values = [c for c in answers.columns if c not in key]
+        lone = F.concat(F.lit("\0"), F.col("offer_id").cast("string"))  # rows without the signal meet nothing, each at a place of its own
+        asks = reduce(and_, [F.col(c).isNotNull() for c in key if not c.startswith("x_")])
+        on = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in key])
+        right = answers.select(on.alias("_on"), F.struct(*values).alias(to))
+        return rows.withColumn("_on", F.when(asks, on).otherwise(lone)).join(right, "_on", "left").drop("_on")
+
+    out = answered(answered(answered(by, g, "g", ["gtin", *x]), p, "p", ["brand", "mpn", *x]), m, "m", ["brand", "_name", "strict", *x, *e])
     sole = F.when(F.col("m.n") == 1, F.col("m.one")).when((F.col("m.n") > 1) & (F.col("m.c_n") == 1), F.col("m.c"))
     method = F.when(F.col("g.n") == 1, "gtin").when(F.col("g.n") > 1, None).when(F.col("p.n") == 1, "brand_mpn").when(F.col("p.n") > 1, None).when(sole.isNotNull(), "brand_model")
     found = F.when(method == "gtin", F.col("g.one")).when(method == "brand_mpn", F.col("p.one")).when(method == "brand_model", sole)
     complete = F.when(method == "gtin", F.col("g.c_n") == 1).when(method == "brand_mpn", F.col("p.c_n") == 1).when(method == "brand_model", (F.col("m.c_n") == 1) & (sole == F.col("m.c")))
-    answers = rows.select("question", method.alias("method"), found.alias("found"), F.coalesce(complete, F.lit(False)).alias("complete"), "g", "p", "m")
 
-    silent = reduce(or_, [(F.col(f"m.low_{x}") != F.col(f"m.high_{x}")) & ~F.map_contains_key("axes", x) for x in axis_names], F.lit(False))
-    several = F.when((F.col("g.n") > 1) | (F.col("p.n") > 1), "ambiguous").when(F.col("m.n") > 1, F.when(silent, "axis_unpublished").otherwise("ambiguous")).when(F.col("m.u_n") > 0, "low_confidence")
+    silent = reduce(or_, [(F.col(f"m.low_{a}") != F.col(f"m.high_{a}")) & F.col(f"x_{a}").isNull() for a in axis_names], F.lit(False))
+    several = F.when((F.col("g.n") > 1) | (F.col("p.n") > 1), "ambiguous").when(F.col("m.n") > 1, F.when(silent, "axis_unpublished").otherwise("ambiguous")).when((F.col("m.u_n") > 0) & ~F.col("strict"), "low_confidence")
+    empty = lambda c: F.nullif(c, F.lit(""))
     nothing = (
-        F.when(F.coalesce("gtin", "mpn", "model", "brand_raw").isNull(), "no_signals").when(F.col("gtin").isNotNull(), "signals_unmatched").when(F.col("brand_state") == "ambiguous", "brand_ambiguous")
+        F.when(F.coalesce(*map(empty, ("gtin", "mpn", "model", "brand_raw"))).isNull(), "no_signals").when(F.col("gtin").isNotNull(), "signals_unmatched").when(F.col("brand_state") == "ambiguous", "brand_ambiguous")
         .when(F.col("brand_state").isin("unknown", "unreadable", "judged_none"), "brand_unknown").otherwise("signals_unmatched")
     )
-    out = keyed.join(answers, "question", "left")
-    return out.select(*listings.columns, "method", "found", F.coalesce("complete", F.lit(False)).alias("complete"), F.when(F.col("method").isNull(), F.coalesce(several, nothing)).alias("reason"))
+    reason = F.when(method.isNull(), F.coalesce(several, nothing))
+    return out.select(*listings.columns, "strict", method.alias("method"), found.alias("found"), F.coalesce(complete, F.lit(False)).alias("complete"), reason.alias("reason"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,14 @@ def saved(df: DataFrame) -> DataFrame:
     at = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+_made: dict[tuple, DataFrame] = {}
+
+
+def saved_once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """make() as a written table, the one of this key that this application has written already if there is one; the tables it is made of must not change meanwhile."""
+    key = (spark.sparkContext.applicationId, id(spark), *key)
+    if key not in _made:
+        _made[key] = saved(make())
+    return _made[key]

@@ -12,27 +12,31 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.unicode import LEGAL_FORMS
 from ..operators.matching import CONFIDENCE, agreement, axes, brand_lookup, ladder, unpublished_axes
 from ..operators.rewrite import merged, upserted
-from ..operators.saved import saved
+from ..operators.saved import saved, saved_once
 from ..sources.tables import read
 
 AXES = ["size", "colour"]
 
-ENTRY_FACTS = """SELECT p_partkey AS variant_id, p_brand AS brand, p_type AS category, CASE WHEN p_partkey % 40 = 0 THEN p_brand || ' ' || p_name ELSE p_name END AS model,
+# one maker in fifty entries writes itself and its models in Cyrillic
+_MAKER = "CASE WHEN p_partkey % 50 = 7 THEN 'Волна' ELSE p_brand END"
+_CALLED = "CASE WHEN p_partkey % 50 = 7 THEN 'Модель ' || p_name ELSE p_name END"
+ENTRY_FACTS = f"""SELECT p_partkey AS variant_id, {_MAKER} AS brand, p_type AS category, CASE WHEN p_partkey % 40 = 0 THEN {_MAKER} || ' ' || p_name ELSE {_CALLED} END AS model,
   CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_size % 4 AS STRING) END AS size, CASE WHEN p_partkey % 5 <> 0 THEN CASE p_partkey % 3 WHEN 0 THEN 'red' WHEN 1 THEN 'blue' ELSE 'grey' END END AS colour,
   lpad(CAST(p_partkey % 1500 AS STRING), 14, '0') AS gtin, p_partkey % 6 = 0 AS learned, 'P-' || CAST(p_partkey % 300 AS STRING) AS mpn FROM part"""
-LISTING_FACTS = """SELECT l_orderkey * 10 + l_linenumber AS offer_id, l_suppkey AS seller_id, l_suppkey % 20 AS channel, p_type AS category, l_shipdate AS seen_at, l_returnflag = 'N' AS is_new, p_partkey AS true_id,
+LISTING_FACTS = f"""SELECT l_orderkey * 10 + l_linenumber AS offer_id, l_suppkey AS seller_id, l_suppkey % 20 AS channel, p_type AS category, l_shipdate AS seen_at, l_returnflag = 'N' AS is_new, p_partkey AS true_id,
   CASE WHEN n % 31 = 0 THEN '99999999999999' WHEN n % 5 = 0 THEN lpad(CAST(p_partkey % 1500 AS STRING), 14, '0') END AS gtin,
-  CASE WHEN n % 7 = 0 THEN NULL WHEN n % 11 = 0 THEN 'Twin' WHEN n % 13 = 0 THEN 'Nobody' WHEN n % 97 = 0 THEN '--' ELSE ' ' || upper(p_brand) END AS brand_raw,
-  CASE n % 4 WHEN 0 THEN p_brand || ' ' || p_name WHEN 1 THEN p_name || ' (' || p_brand || ')' WHEN 2 THEN p_name ELSE p_name || ' Brand#1 ' || p_brand END AS title,
+  CASE WHEN n % 14 = 0 THEN '' WHEN n % 7 = 0 THEN NULL WHEN n % 11 = 0 THEN 'Twin' WHEN n % 13 = 0 THEN 'Nobody' WHEN n % 97 = 0 THEN '--' WHEN n % 17 = 0 THEN maker || ' SIA' WHEN n % 19 = 0 THEN '«' || maker || '®» Ltd.' ELSE ' ' || upper(maker) END AS brand_raw,
+  CASE n % 4 WHEN 0 THEN maker || ' ' || called WHEN 1 THEN called || ' (' || maker || ')' WHEN 2 THEN called ELSE called || ' Brand#1 ' || maker END AS title,
   CASE WHEN n % 6 = 0 THEN 'p' || CAST(p_partkey % 300 AS STRING) END AS mpn,
-  CASE WHEN n % 9 = 0 THEN NULL WHEN n % 8 = 3 THEN p_brand || ' ' || p_name ELSE p_name END AS model,
+  CASE WHEN n % 9 = 0 THEN NULL WHEN n % 8 = 3 THEN maker || CASE n % 3 WHEN 0 THEN ', ' ELSE ' ' END || called ELSE called END AS model,
   CASE WHEN n % 4 <> 0 THEN CAST((p_size + CASE WHEN n % 17 = 0 THEN 1 ELSE 0 END) % 4 AS STRING) END AS size,
   CASE WHEN n % 3 <> 1 AND (l_suppkey % 5 <> 0 OR n % 29 = 0) THEN CASE p_partkey % 3 WHEN 0 THEN 'red' WHEN 1 THEN 'blue' ELSE 'grey' END END AS colour
-  FROM (SELECT *, l_orderkey * 7 + l_linenumber AS n FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey, max(l_shipdate) AS l_shipdate, max(l_returnflag) AS l_returnflag
+  FROM (SELECT *, l_orderkey * 7 + l_linenumber AS n, {_MAKER} AS maker, {_CALLED} AS called FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey, max(l_shipdate) AS l_shipdate, max(l_returnflag) AS l_returnflag
     FROM lineitem GROUP BY l_orderkey, l_linenumber) x JOIN part ON l_partkey = p_partkey)"""
-ALIAS_FACTS = "SELECT DISTINCT lower(p_brand) AS alias, p_brand AS brand FROM part UNION ALL SELECT 'twin', 'Brand#1' UNION ALL SELECT 'twin', 'Brand#2'"
+ALIAS_FACTS = "SELECT DISTINCT p_brand AS alias, p_brand AS brand FROM part UNION ALL SELECT 'twin', 'Brand#1' UNION ALL SELECT 'twin', 'Brand#2' UNION ALL SELECT 'ВОЛНА', 'Волна'"
 CATEGORY_FACTS = "SELECT DISTINCT p_type AS category, p_type NOT IN ('PROMO', 'STANDARD') AS wants_colour, p_type <> 'PROMO' AS wants_size, p_type IN ('ECONOMY', 'MEDIUM') AS strict FROM part"
 VERDICT_FACTS = "SELECT offer_id, CASE WHEN offer_id % 3 = 0 THEN 'Brand#2' END AS choice FROM listing_facts WHERE brand_raw = 'Twin' AND offer_id % 2 = 0"
 
@@ -57,7 +61,7 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listings = said(spark, sf_dir)
+    listings = saved(said(spark, sf_dir))  # the lookup reads it several times, as it would a stored table
     verdicts = listings.where("brand_raw = 'Twin' and offer_id % 2 = 0").select("offer_id", F.when(F.col("offer_id") % 3 == 0, "Brand#2").alias("choice"))
     return brand_lookup(listings, _facts(spark, sf_dir, ALIAS_FACTS), verdicts)
 
@@ -72,19 +76,25 @@ def unpublished(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpublished_axes(said(spark, sf_dir), AXES)
 
 
-def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each listing's outcome, with what it said."""
     known = entries(spark, sf_dir)
-    silent = unpublished(spark, sf_dir).groupBy("channel").agg(F.array_sort(F.collect_set("axis")).alias("excused"))
-    listings = _lookup(spark, sf_dir).join(silent, "channel", "left").withColumn("excused", F.coalesce("excused", F.array().cast("array<string>")))
+    listings = _lookup(spark, sf_dir)
+    silent = unpublished_axes(listings, AXES).groupBy("channel").agg(F.array_sort(F.collect_set("axis")).alias("excused"))
+    listings = listings.join(silent, "channel", "left").withColumn("excused", F.coalesce("excused", F.array().cast("array<string>")))
     listings = saved(listings.drop("size", "colour"))  # questions are made of them, and answered
     return ladder(listings, known, known.select("gtin", "variant_id", "learned"), known.select("brand", "mpn", "variant_id"), categories(spark, sf_dir), AXES)
 
 
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes as a table, decided once: what reads them doesn't climb the ladder again."""
+    return saved_once(spark, ("decided", sf_dir), lambda: _ladder(spark, sf_dir))
+
+
 def match_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each listing's match, or the reason for which it waits."""
     confidence = F.create_map(*[x for m, c in CONFIDENCE.items() for x in (F.lit(m), F.lit(c))])
-    return _decided(spark, sf_dir).select("offer_id", "method", "found", "complete", "reason", confidence[F.col("method")].cast("decimal(4,3)").alias("confidence"))
+    return _ladder(spark, sf_dir).select("offer_id", "method", "found", "complete", "reason", confidence[F.col("method")].cast("decimal(4,3)").alias("confidence"))
 
 
 def queue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,14 +151,14 @@ def reconciled_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def learned_gtins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Barcodes of listings that another rung placed with all axes compared (none excused), where no entry holds them."""
-    rows = _decided(spark, sf_dir).where("complete and method in ('brand_mpn', 'brand_model') and gtin is not null and (method = 'brand_mpn' or size(excused) = 0)")
+    """Barcodes of listings that another rung placed with all axes compared (in a strict category none excused), where no entry holds them."""
+    rows = _decided(spark, sf_dir).where("complete and method in ('brand_mpn', 'brand_model') and gtin is not null and (method = 'brand_mpn' or not strict or size(excused) = 0)")
     return rows.join(entries(spark, sf_dir).select("gtin").distinct(), "gtin", "left_anti").select(F.col("found").alias("variant_id"), "gtin").distinct()
 
 
 def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of new listings that no signal placed: one entry for each different identity, or why there is none."""
-    rows = _decided(spark, sf_dir).where("is_new and reason = 'signals_unmatched'").join(categories(spark, sf_dir), "category", "left")
+    rows = _decided(spark, sf_dir).where("is_new and reason = 'signals_unmatched'").join(categories(spark, sf_dir).drop("strict"), "category", "left")
     name = F.coalesce("model", "title")
     whole = (F.size("required") > 0) & (F.size(F.array_except("required", F.map_keys("axes"))) == 0)
     refused = (
@@ -182,18 +192,28 @@ def merged_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (brand_resolve, match_ladder, queue_summary, queue_siblings, axes_compared, queue_upsert, linked, reconciled_axes, learned_gtins, promotion, merge_pairs, merged_offers)}
 QUERIES["unpublished_axes"] = unpublished
 
-_KEY = lambda x: f"nullif(regexp_replace(replace(lower({x}), '+', 'plus'), '[^0-9a-z]', '', 'g'), '')"
+_KEY = lambda x: f"nullif(regexp_replace(replace(lower({x}), '+', 'plus'), '[^0-9a-zЀ-ӿ]', '', 'g'), '')"
+# the brand's form, spelled out for names of the facts, which hold no compatibility characters
+_EDGE = " \t\n\xa0.,;:!-–—_/\\|\"''`«»"
+_COMPANY = "".join(
+    f" WHEN ends_with(t, '{form}') AND right(left(t, len(t) - {len(form)}), 1) IN (' ', ',', '.', '-') AND trim(left(t, len(t) - {len(form)}), '{_EDGE}') <> '' THEN trim(left(t, len(t) - {len(form)}), '{_EDGE}')" for form in LEGAL_FORMS
+)
+_REST = "substr(trim({name}), len(brand) + 1)"
+_WITHOUT = lambda name: f"CASE WHEN starts_with(lower(trim({name})), lower(brand)) AND regexp_matches({_REST.format(name=name)}, '^([\\s,./|-]|$)') AND trim({_REST.format(name=name)}, ' ,./|-') <> '' THEN trim({_REST.format(name=name)}, ' ,./|-') ELSE trim({name}) END"
 _BASE = f"""entry AS ({ENTRY_FACTS}), listing_facts AS ({LISTING_FACTS}), alias AS ({ALIAS_FACTS}), category AS ({CATEGORY_FACTS}), verdict AS ({VERDICT_FACTS}),
-one AS (SELECT alias, count(DISTINCT brand) AS n, min(brand) AS b FROM alias GROUP BY alias),
-w AS (SELECT *, trim(lower(brand_raw)) AS field, string_split(lower(title), ' ') AS tw, string_split(lower(model), ' ') AS mw FROM listing_facts),
-edge AS (SELECT w.*, f.n AS f_n, f.b AS f_b, coalesce(t2.b, t1.b, m2.b, m1.b) AS edge FROM w LEFT JOIN one f ON f.alias = field
+w AS (SELECT *, nullif(brand_raw, '') AS field, string_split(title, ' ') AS tw, string_split(model, ' ') AS mw FROM listing_facts),
+raw AS (SELECT alias AS raw FROM alias UNION SELECT field FROM w UNION SELECT tw[1] || ' ' || tw[2] FROM w UNION SELECT mw[1] || ' ' || mw[2] FROM w UNION SELECT mw[1] FROM w UNION SELECT unnest(tw) FROM w UNION SELECT trim(unnest(tw), '(),.:;/') FROM w),
+formed AS (SELECT raw, nullif(CASE{_COMPANY} ELSE trim(t, '{_EDGE}') END, '') AS form FROM (SELECT raw, lower(trim(regexp_replace(regexp_replace(raw, '[®™©]', '', 'g'), '[\\s\xa0]+', ' ', 'g'))) AS t FROM raw WHERE raw <> '')),
+maker AS (SELECT form, count(DISTINCT brand) AS n, min(brand) AS b FROM alias JOIN formed ON raw = alias GROUP BY form),
+one AS (SELECT raw AS alias, f.form, n, b FROM formed f LEFT JOIN maker m ON m.form = f.form),
+edge AS (SELECT w.*, f.n AS f_n, f.b AS f_b, field IS NOT NULL AND f.form IS NULL AS unreadable, coalesce(t2.b, t1.b, m2.b, m1.b) AS edge FROM w LEFT JOIN one f ON f.alias = field
   LEFT JOIN one t2 ON t2.n = 1 AND t2.alias = tw[1] || ' ' || tw[2] LEFT JOIN one t1 ON t1.n = 1 AND t1.alias = tw[1]
   LEFT JOIN one m2 ON m2.n = 1 AND m2.alias = mw[1] || ' ' || mw[2] LEFT JOIN one m1 ON m1.n = 1 AND m1.alias = mw[1]),
 anywhere AS (SELECT offer_id, min(b) AS b FROM (SELECT offer_id, trim(unnest(tw), '(),.:;/') AS word FROM w) JOIN one ON one.alias = word AND one.n = 1 GROUP BY offer_id HAVING count(DISTINCT b) = 1),
-looked AS (SELECT e.*, CASE WHEN regexp_replace(field, '[^a-z0-9]', '', 'g') = '' THEN 'unreadable' WHEN f_n = 1 THEN 'resolved'
+looked AS (SELECT e.*, CASE WHEN unreadable THEN 'unreadable' WHEN f_n = 1 THEN 'resolved'
   WHEN f_n > 1 THEN CASE WHEN v.choice IS NOT NULL THEN 'resolved_judge' WHEN v.offer_id IS NOT NULL THEN 'judged_none' ELSE 'ambiguous' END
-  WHEN coalesce(edge, a.b) IS NOT NULL THEN 'resolved_title' WHEN brand_raw IS NULL THEN 'none_given' ELSE 'unknown' END AS brand_state,
-  CASE WHEN regexp_replace(field, '[^a-z0-9]', '', 'g') = '' THEN NULL WHEN f_n = 1 THEN f_b WHEN f_n > 1 THEN v.choice ELSE coalesce(edge, a.b) END AS brand
+  WHEN coalesce(edge, a.b) IS NOT NULL THEN 'resolved_title' WHEN field IS NULL THEN 'none_given' ELSE 'unknown' END AS brand_state,
+  CASE WHEN unreadable THEN NULL WHEN f_n = 1 THEN f_b WHEN f_n > 1 THEN v.choice ELSE coalesce(edge, a.b) END AS brand
   FROM edge e LEFT JOIN anywhere a USING (offer_id) LEFT JOIN verdict v USING (offer_id)),
 silent AS (SELECT channel, axis, count(*) AS n, count(*) FILTER (WHERE CASE axis WHEN 'size' THEN size ELSE colour END IS NOT NULL) AS stated FROM listing_facts, (VALUES ('size'), ('colour')) x(axis)
   GROUP BY ALL HAVING count(*) >= 50 AND count(*) FILTER (WHERE CASE axis WHEN 'size' THEN size ELSE colour END IS NOT NULL) * 10 < count(*)),
@@ -214,7 +234,7 @@ def _checked(pairs: str, excuse: bool) -> str:
 _LADDER = f"""{_BASE},
 g AS (SELECT offer_id, count(*) AS n, min(variant_id) AS v, bool_or(complete) AS c FROM ({_checked("l a JOIN entry e ON e.gtin = a.gtin", False)}) WHERE NOT (learned AND checked AND NOT agreed) GROUP BY offer_id),
 p AS (SELECT offer_id, count(*) AS n, min(variant_id) AS v, bool_or(complete) AS c FROM ({_checked(f"l a JOIN entry e ON e.brand = a.brand AND {_KEY('e.mpn')} = {_KEY('a.mpn')}", False)}) WHERE agreed OR unverifiable GROUP BY offer_id),
-form AS (SELECT l.*, 0 AS nth, {_KEY("coalesce(model, title)")} AS key FROM l UNION ALL SELECT l.*, 1, {_KEY("CASE WHEN starts_with(lower(coalesce(model, title)), lower(brand) || ' ') THEN substr(coalesce(model, title), len(brand) + 2) ELSE coalesce(model, title) END")} FROM l
+form AS (SELECT l.*, 0 AS nth, {_KEY("coalesce(model, title)")} AS key FROM l UNION ALL SELECT l.*, 1, {_KEY(_WITHOUT("coalesce(model, title)"))} FROM l
   UNION ALL SELECT l.*, 2, {_KEY("brand || ' ' || coalesce(model, title)")} FROM l),
 m0 AS ({_checked(f"form a JOIN entry e ON e.brand = a.brand AND {_KEY('e.model')} = a.key", True)}),
 m1 AS (SELECT *, agreed AND (NOT strict OR complete) AS taken FROM m0 WHERE nth = (SELECT min(nth) FROM m0 i WHERE i.offer_id = m0.offer_id)),
@@ -225,7 +245,7 @@ k AS (SELECT *, CASE WHEN g_n = 1 THEN 'gtin' WHEN g_n > 1 THEN NULL WHEN p_n =
 decided AS (SELECT *, CASE method WHEN 'gtin' THEN g WHEN 'brand_mpn' THEN p WHEN 'brand_model' THEN sole END AS found,
   coalesce(CASE method WHEN 'gtin' THEN g_c WHEN 'brand_mpn' THEN p_c WHEN 'brand_model' THEN c_n = 1 AND sole = m_c END, false) AS complete,
   CASE WHEN method IS NOT NULL THEN NULL WHEN g_n > 1 OR p_n > 1 THEN 'ambiguous' WHEN m_n > 1 THEN CASE WHEN (sizes > 1 AND size IS NULL) OR (colours > 1 AND colour IS NULL) THEN 'axis_unpublished' ELSE 'ambiguous' END WHEN u > 0 THEN 'low_confidence'
-   WHEN gtin IS NULL AND mpn IS NULL AND model IS NULL AND brand_raw IS NULL THEN 'no_signals' WHEN gtin IS NOT NULL THEN 'signals_unmatched' WHEN brand_state = 'ambiguous' THEN 'brand_ambiguous' WHEN brand_state IN ('unknown', 'unreadable', 'judged_none') THEN 'brand_unknown' ELSE 'signals_unmatched' END AS reason FROM k)"""
+   WHEN gtin IS NULL AND mpn IS NULL AND model IS NULL AND field IS NULL THEN 'no_signals' WHEN gtin IS NOT NULL THEN 'signals_unmatched' WHEN brand_state = 'ambiguous' THEN 'brand_ambiguous' WHEN brand_state IN ('unknown', 'unreadable', 'judged_none') THEN 'brand_unknown' ELSE 'signals_unmatched' END AS reason FROM k)"""
 _PLACED = f"{_LADDER}, placed AS (SELECT d.offer_id, d.seen_at, d.method, d.found AS variant_id, d.size, d.colour, e.size AS e_size, e.colour AS e_colour FROM decided d JOIN entry e ON e.variant_id = d.found WHERE method IS NOT NULL)"
 _PAIRS = f"""{_BASE}, r AS (SELECT e.*, (SELECT count(*) FROM listing_facts f WHERE f.true_id = e.variant_id) AS live FROM entry e),
 b AS (SELECT *, first_value(variant_id) OVER x AS into_id, first_value(size) OVER x AS k_size, first_value(colour) OVER x AS k_colour FROM r WINDOW x AS (PARTITION BY brand, mpn ORDER BY live DESC, variant_id)),
@@ -246,7 +266,7 @@ UNION ALL SELECT offer_id, found, true, method FROM decided d WHERE method IS NO
     "reconciled_axes": f"""WITH {_PLACED}, ok AS (SELECT * FROM placed WHERE method = 'gtin' OR ((size IS NOT NULL AND e_size IS NOT NULL OR colour IS NOT NULL AND e_colour IS NOT NULL) AND coalesce(size = e_size, true) AND coalesce(colour = e_colour, true))),
 x AS (SELECT variant_id, 'size' AS axis, size AS value, seen_at, offer_id FROM ok WHERE size IS NOT NULL AND e_size IS NULL UNION ALL SELECT variant_id, 'colour', colour, seen_at, offer_id FROM ok WHERE colour IS NOT NULL AND e_colour IS NULL)
 SELECT variant_id, axis, arg_max(value, (seen_at, offer_id)) AS value, count(*) AS listings FROM x GROUP BY ALL""",
-    "learned_gtins": f"WITH {_LADDER} SELECT DISTINCT found AS variant_id, gtin FROM decided WHERE complete AND gtin IS NOT NULL AND (method = 'brand_mpn' OR method = 'brand_model' AND NOT no_size AND NOT no_colour) AND gtin NOT IN (SELECT gtin FROM entry)",
+    "learned_gtins": f"WITH {_LADDER} SELECT DISTINCT found AS variant_id, gtin FROM decided WHERE complete AND gtin IS NOT NULL AND (method = 'brand_mpn' OR method = 'brand_model' AND NOT (strict AND (no_size OR no_colour))) AND gtin NOT IN (SELECT gtin FROM entry)",
     "promotion": f"""WITH {_LADDER}, q AS (SELECT d.*, CASE WHEN channel % 4 = 3 THEN 'source_not_trusted' WHEN gtin IS NULL AND NOT ((wants_size OR wants_colour) AND (NOT wants_size OR size IS NOT NULL) AND (NOT wants_colour OR colour IS NOT NULL)) THEN 'no_barcode'
   WHEN brand IS NULL THEN 'brand_unresolved' WHEN coalesce(model, title) IS NULL THEN 'no_model' END AS refused,
   concat_ws('|', brand, category, lower(coalesce(model, title)), concat_ws(';', 'colour=' || colour, 'size=' || size)) AS id FROM decided d JOIN category c USING (category) WHERE is_new AND reason = 'signals_unmatched')
