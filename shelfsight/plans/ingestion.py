@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.unicode import payload_hash
 from ..operators.rewrite import upserted
 from ..sources.tables import OBSERVATIONS, observations, read
 from .matching import LISTING_FACTS, _facts
@@ -71,8 +72,7 @@ def readings_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations whose content the listing has had are the same raw row: its first sight, its last, and how often."""
-    plain = F.regexp_replace("props", r"\s", "")
-    seen = observations(spark, sf_dir).withColumn("content", F.sha2(plain, 256))
+    seen = observations(spark, sf_dir).withColumn("content", payload_hash(F.col("props")))
     return seen.groupBy("offer_id", "content").agg(F.min_by("event_id", F.struct("obs_at", "event_id")).alias("event_id"), F.max("obs_at").alias("last_seen"), F.count("*").alias("seen"))
 
 

@@ -119,7 +119,7 @@ def test_rules_run_in_layers_and_rounds(spark):
     ))
     rows = spark.createDataFrame([(1, "x"), (2, "y")], "id int, category string")
     got = R.read_listings(rows, {"model": F.lit("m"), "brand": F.lit(None), "line": F.lit(None), "colour": F.lit("red")}, rules, trace=True).orderBy("id").collect()
-    assert (got[0].model, got[0].brand, got[0].line, got[0].colour, got[0].version) == ("from b!", "acme", "l", "red", "generic-3+b,a+++acme+") or got[0].version == "generic-3+a,b+++acme+"
+    assert (got[0].model, got[0].brand, got[0].line, got[0].colour, got[0].version) == ("from b!", "acme", "l", "red", "generic-3+a,b+++acme+")
     assert [(t.rule, t.round, t.changed) for t in got[0].trace] == [("a", 1, ["model"]), ("b", 1, ["model", "brand"]), ("end", 1, ["model"]), ("acme", 2, ["line"])]
     assert (got[1].model, got[1].version) == ("m!", "generic-3+++++")
     with pytest.raises(ValueError):
