@@ -44,7 +44,8 @@ VERDICT_FACTS = "SELECT offer_id, CASE WHEN offer_id % 3 = 0 THEN 'Brand#2' END
 def _facts(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     named = re.compile(r"\b(FROM|JOIN) (part|lineitem)\b")
     tables = {m[2]: read(spark, sf_dir, m[2]) for m in named.finditer(sql)}
-    return spark.sql(named.sub(r"\1 {\2}", sql), **tables)
+    plain = sql.replace("{", "{{").replace("}", "}}")  # braces are the text's own
+    return spark.sql(named.sub(r"\1 {\2}", plain), **tables)
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
