@@ -180,11 +180,15 @@ _TEXTS = "anchor long, run long, n long, id long, text_key long, first int, word
 
 
 def _run_texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """What each request asks for: a run's words, or under a hot anchor the key of each of its windows."""
+    """What each request asks for: a run's words, or under a hot anchor the key of each of its windows. Rows of one id and text follow each other, and the first of them answers for all."""
     press = zstandard.ZstdDecompressor()
+    answered = None
     for batch in batches:
         out: list[tuple] = []
         for at, packed, wanted in zip(batch.column("id").to_pylist(), batch.column("packed").to_pylist(), batch.column("wanted").to_pylist()):
+            if answered == (at, wanted[0]["text_key"]):
+                continue
+            answered = at, wanted[0]["text_key"]
             words = _unpacked(packed, press)
             for x in wanted:
                 first, last = x["first"], x["first"] + x["windows"]
@@ -274,7 +278,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int
     every = places.join(few, ["anchor", "run"]).unionByName(rest).select("id", "text_key", (F.col("first") + F.col("from")).alias("first"), F.col("many").alias("windows"))
 
     gone = every.unionByName(parts.where("n = 1").select("id", "text_key", "first", "windows")).unionByName(alone)
-    spans = gone.groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
+    spans = gone.groupBy("id", "text_key").agg(F.collect_set(F.struct("first", "windows")).alias("spans"))  # of copies with one id, once
     return packed.join(spans, ["id", "text_key"], "left").mapInArrow(partial(_without, size=size), "doc_id long, n_words long, n_removed long, kept string")
 
 

@@ -266,6 +266,14 @@ def test_repeats_of_nothing(none):
     assert op3_substring_dedup.remove_repeats(none).collect() == []
 
 
+def test_repeats_of_many_equal_rows(spark):
+    """Copies with one id, or none, ask for each run once and hold each span once."""
+    text = prose(400, 5000)
+    rows = [(None, text)] * 2000 + [(7, text)] * 2000 + [(8, f"{text} tail"), (9, prose(100, 5000))]
+    got = op3_substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert Counter(map(tuple, got.select("doc_id", "n_words", "n_removed").collect())) == {(None, 400, 400): 2000, (7, 400, 400): 2000, (8, 401, 400): 1, (9, 100, 0): 1}
+
+
 def test_suffix_automaton_counts_places():
     text = list("abcabcabx")
     automaton = op3_substring_dedup.SuffixAutomaton()
