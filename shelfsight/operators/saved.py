@@ -24,20 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def _written(df: DataFrame) -> str:
+    at = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return at
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df as a written table: its lineage ends here, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df))
 
 
-_made: dict[tuple, DataFrame] = {}
+_made: dict[tuple, tuple] = {}
 
 
 def saved_once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
-    """make() as a written table, the one of this key that this application has written already if there is one; the tables it is made of must not change meanwhile."""
-    key = (spark.sparkContext.applicationId, id(spark), *key)
-    if key not in _made:
-        _made[key] = saved(make())
-    return _made[key]
+    """make() as a written table, the one of this key that this application has written if it is still there; the tables it is made of must not change meanwhile."""
+    key = (spark.sparkContext.applicationId, *key)
+    schema, at = _made.get(key, (None, None))
+    if at is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return spark.read.schema(schema).parquet(at)
+    made = make()
+    _made[key] = made.schema, _written(made)
+    return spark.read.schema(made.schema).parquet(_made[key][1])

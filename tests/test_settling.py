@@ -167,3 +167,21 @@ def test_settle_after_reread(spark, tmp_path):
     assert seen(after["entries"]) == {2: ("Lamp", "s", "red"), 1012: ("Lamp", "s", "blue")}  # the kept value made the entry what another one is
     assert {r.offer_id: r.variant_id for r in after["placed"].collect()} == {10: 2, 11: 2, 12: 1012, 13: 2}
     assert [tuple(r) for r in after["gtins"].collect()] == [("g", 2, False)] and [tuple(r) for r in after["notes"].collect()] == [(1, 2)]
+
+
+def test_a_table_that_is_saved_once(spark):
+    import shutil
+
+    from shelfsight.operators.saved import saved_once
+
+    calls = []
+
+    def make():
+        calls.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        got = saved_once(spark, ("some", "key"), make)
+        assert got.count() == 3 and len(calls) == 1
+    shutil.rmtree(got.inputFiles()[0].removeprefix("file://").rpartition("/")[0])
+    assert saved_once(spark, ("some", "key"), make).count() == 3 and len(calls) == 2
