@@ -194,3 +194,13 @@ def ladder(listings: DataFrame, entries: DataFrame, gtins: DataFrame, mpns: Data
     )
     reason = F.when(method.isNull(), F.coalesce(several, nothing))
     return out.select(*listings.columns, "strict", method.alias("method"), found.alias("found"), F.coalesce(complete, F.lit(False)).alias("complete"), reason.alias("reason"))
+
+
+def pending(listings: DataFrame, matches: DataFrame, queue: DataFrame, limit: int) -> DataFrame:
+    """The new listings that a pass tries: those without a match in force, never tried ones first, then the least recently tried, ids breaking ties; `limit` is the pass's.
+
+    listings: offer_id, condition; matches: offer_id, active; queue: offer_id (once each), last_attempt_at. The limit is a top-k over tasks, not a sort of all.
+    """
+    open_ = listings.where("condition = 'new'").join(matches.where("active").select("offer_id"), "offer_id", "left_anti")
+    tried = open_.join(queue.select("offer_id", "last_attempt_at"), "offer_id", "left").select("offer_id", "last_attempt_at")
+    return tried.orderBy(F.col("last_attempt_at").asc_nulls_first(), "offer_id").limit(limit)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.unicode import LEGAL_FORMS
-from ..operators.matching import CONFIDENCE, agreement, axes, brand_lookup, ladder, unpublished_axes
+from ..operators.matching import CONFIDENCE, agreement, axes, brand_lookup, ladder, pending, unpublished_axes
 from ..operators.rewrite import merged, upserted
 from ..operators.saved import saved, saved_once
 from ..sources.tables import read
@@ -140,6 +140,14 @@ def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return was.unionByName(added)
 
 
+def pending_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thousand listings that the next pass tries."""
+    rows = said(spark, sf_dir).select("offer_id", "is_new")
+    tried = F.when(F.col("offer_id") % 12 != 0, F.timestamp_add("DAY", (F.col("offer_id") % 400).cast("int"), F.lit("2001-01-01").cast("timestamp")))
+    queue = rows.where("offer_id % 30 <> 7").select("offer_id", tried.alias("last_attempt_at"))
+    return pending(rows.select("offer_id", F.when(F.col("is_new"), "new").alias("condition")), rows.where("offer_id % 7 < 2").select("offer_id", (F.col("offer_id") % 7 == 1).alias("active")), queue, 1000)
+
+
 def reconciled_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Axes that entries lack and their listings say: any that a barcode placed, and others whose compared axes agreed. Of several values the newest listing's counts; none replaces what is there."""
     placed = _decided(spark, sf_dir).where("method is not null").select("offer_id", "seen_at", "method", F.col("found").alias("variant_id"), F.col("axes").alias("stated"))
@@ -190,7 +198,7 @@ def merged_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged(offers, pairs, "variant_id").groupBy("variant_id").agg(F.count("*").alias("listings"))
 
 
-QUERIES = {f.__name__: f for f in (brand_resolve, match_ladder, queue_summary, queue_siblings, axes_compared, queue_upsert, linked, reconciled_axes, learned_gtins, promotion, merge_pairs, merged_offers)}
+QUERIES = {f.__name__: f for f in (brand_resolve, match_ladder, queue_summary, queue_siblings, axes_compared, queue_upsert, pending_selection, linked, reconciled_axes, learned_gtins, promotion, merge_pairs, merged_offers)}
 QUERIES["unpublished_axes"] = unpublished
 
 _KEY = lambda x: f"nullif(regexp_replace(replace(lower({x}), '+', 'plus'), '[^0-9a-zЀ-ӿ]', '', 'g'), '')"
@@ -261,6 +269,8 @@ ORACLES = {
     "queue_upsert": f"""WITH {_LADDER}, held AS (SELECT offer_id, offer_id % 4 + 1 AS attempts, 'signals_unmatched' AS reason, CAST(NULL AS VARCHAR) AS brand FROM listing_facts WHERE offer_id % 3 = 0)
 SELECT offer_id, coalesce(h.attempts, 0) + 1 AS attempts, d.reason, d.brand FROM decided d LEFT JOIN held h USING (offer_id) WHERE d.is_new AND d.reason IS NOT NULL
 UNION ALL SELECT * FROM held WHERE offer_id NOT IN (SELECT offer_id FROM decided WHERE is_new)""",
+    "pending_selection": f"""SELECT offer_id, last_attempt_at FROM (SELECT offer_id, CASE WHEN offer_id % 30 <> 7 AND offer_id % 12 <> 0 THEN TIMESTAMP '2001-01-01' + to_days(CAST(offer_id % 400 AS INTEGER)) END AS last_attempt_at FROM ({LISTING_FACTS}) WHERE is_new AND offer_id % 7 <> 1)
+ORDER BY last_attempt_at NULLS FIRST, offer_id LIMIT 1000""",
     "linked": f"""WITH {_LADDER}, old AS (SELECT offer_id, true_id AS variant_id FROM listing_facts WHERE offer_id % 7 = 1)
 SELECT o.offer_id, o.variant_id, d.method IS NULL OR d.found = o.variant_id AS active, 'earlier' AS method FROM old o JOIN decided d USING (offer_id)
 UNION ALL SELECT offer_id, found, true, method FROM decided d WHERE method IS NOT NULL AND NOT EXISTS (SELECT 1 FROM old o WHERE o.offer_id = d.offer_id AND o.variant_id = d.found)""",

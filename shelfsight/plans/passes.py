@@ -92,7 +92,7 @@ def funnel_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each day's observations brought: listings seen, first seen that day, and changed in price."""
+    """What each month's observations brought: listings seen, first seen that month, and changed in price."""
     w = Window.partitionBy("variant_id", "shop_id").orderBy("seen_at", "offer_id")
     o = offers(spark, sf_dir).withColumn("nth", F.row_number().over(w)).withColumn("was", F.lag("price").over(w))
     new = F.col("nth") == 1

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfsight.operators.listing import ORDERS, Filters, filtered, page
+from shelfsight.operators.matching import pending
 
 SCHEMA = (
     "offer_id long, external_id string, seller_id long, shop_id long, shop string, market string, category string, title string, gtin string, model string, price decimal(12,2), condition string, availability string, listed boolean, last_seen_at timestamp, first_seen_at timestamp, "
@@ -78,3 +79,13 @@ def test_filters_reach_the_scan(spark, table, tmp_path):
         pushed = plan.split("PushedFilters: [")[1].split("]")[0]
         assert bool(pushed) == (name not in ("search", "sources")), (name, pushed)
         assert plan.split("ReadSchema: ")[1].count(":") <= 5, name
+
+
+def test_a_pass_tries_the_least_recently_tried(spark):
+    at = lambda n: dt.datetime(2024, 1, n)
+    listings = spark.createDataFrame([(i, "used" if i == 6 else None if i == 7 else "new") for i in range(1, 9)], "offer_id long, condition string")
+    matches = spark.createDataFrame([(1, True), (1, False), (2, False)], "offer_id long, active boolean")
+    queue = spark.createDataFrame([(2, at(3)), (3, at(1)), (4, None), (8, at(1))], "offer_id long, last_attempt_at timestamp")
+    assert [r.offer_id for r in pending(listings, matches, queue, 9).collect()] == [4, 5, 3, 8, 2]
+    assert [r.offer_id for r in pending(listings, matches, queue, 3).collect()] == [4, 5, 3] and pending(listings, matches.limit(0), queue.limit(0), 1).first().offer_id == 1
+    assert "TakeOrderedAndProject" in pending(listings, matches, queue, 3)._jdf.queryExecution().executedPlan().toString()
