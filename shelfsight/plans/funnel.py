@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.daily import keep_days, standing
-from ..operators.saved import shared_dir
+from ..operators.saved import saved, shared_dir
 from ..sources.tables import OFFERS, offers, read
 
 FIRST, LAST = dt.date(2001, 9, 1), dt.date(2001, 10, 31)
@@ -29,8 +29,8 @@ def _days(spark: SparkSession, sf_dir: str, first: dt.date, last: dt.date) -> Da
 def funnel_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each day's funnel for everything and for each category: the first days are kept, then all days once more (those kept stay), then the last ones anew."""
     folder = f"{shared_dir(spark).rstrip('/')}/funnel-{uuid.uuid4().hex}"
-    keep_days(_days(spark, sf_dir, FIRST, MIDDLE), folder)
-    every = _days(spark, sf_dir, FIRST, LAST)
+    every = saved(_days(spark, sf_dir, FIRST, LAST))  # a day's numbers don't depend on later days
+    keep_days(every.where(F.col("day") <= F.lit(MIDDLE)), folder)
     keep_days(every, folder)
     keep_days(every.where(F.col("day") > F.lit(MIDDLE)), folder, replace=True)
     return spark.read.schema(every.schema).parquet(folder).select("day", "scope", *STAGES)
