@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.listing import Filters, filtered, ordered
-from ..operators.saved import saved_once
-from ..sources.tables import MONEY, read
-from .matching import _LADDER, _decided, categories, entries, said
+from ..operators.saved import saved, saved_once
+from ..sources.tables import read
+from .matching import _LADDER, _decided, _found, categories
 
 #: A value for each filter, all in one: each is asked alone as well.
 ASKED = Filters(
@@ -23,18 +23,17 @@ NAMES = [f.name for f in fields(Filters)]
 
 
 def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("offer_id")).agg(F.max("l_extendedprice").cast(MONEY).alias("price"), F.max("l_linestatus").alias("line"), F.min("l_shipdate").alias("first_seen_at"))
-    shops = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seller_id"), F.col("s_name").alias("shop"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("market"))
-    answers = _decided(spark, sf_dir).select("offer_id", "method", "reason", F.col("found").alias("variant_id"))
-    held = entries(spark, sf_dir).select("variant_id", "brand", F.concat_ws("|", "brand", "model").alias("product"))
-    rows = said(spark, sf_dir).join(lines, "offer_id").join(shops, "seller_id", "left").join(answers, "offer_id", "left").join(held, "variant_id", "left").join(categories(spark, sf_dir).select("category", "required"), "category", "left")
+    shops = saved(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seller_id"), F.col("s_name").alias("shop"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("market")))
+    held = _found(spark, sf_dir).select(F.col("variant_id").alias("found"), F.col("variant_id"), F.col("brand").alias("entry_brand"), F.concat_ws("|", "brand", "model").alias("product"))
+    required = saved(categories(spark, sf_dir).select("category", "required"))
+    rows = _decided(spark, sf_dir).where("offer_id is not null").join(shops, "seller_id", "left").join(held, "found", "left").join(required, "category", "left")
     lacks = F.filter("required", lambda a: F.col("axes")[a].isNull())
     missing = F.when(F.size(lacks) > 0, F.concat(F.lit("/"), F.array_join(lacks, "/"), F.lit("/"))).when(F.col("required").isNotNull(), "")
     sources = F.when(F.col("offer_id") % 3 == 0, F.array(F.col("channel"), F.col("channel") + 1)).otherwise(F.array("channel"))
     return rows.select(
         "offer_id", F.concat(F.lit("x"), F.col("offer_id").cast("string")).alias("external_id"), "seller_id", F.col("seller_id").alias("shop_id"), "shop", "market", "category", "title", "gtin", "model", "price", F.when(F.col("is_new"), "new").otherwise("used").alias("condition"),
         F.when(F.col("line") == "O", "in_stock").otherwise("out_of_stock").alias("availability"), (F.col("line") == "O").alias("listed"), F.col("seen_at").alias("last_seen_at"), "first_seen_at", "method", "reason", F.when(F.col("method").isNotNull(), "placed").when(F.col("reason").isNotNull(), "queued").alias("state"),
-        "variant_id", "brand", "product", missing.alias("missing"), sources.alias("sources"),
+        "variant_id", F.col("entry_brand").alias("brand"), "product", missing.alias("missing"), sources.alias("sources"),
     )
 
 
