@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.payloads import coded, configurable, encoded, exported, faceted
+from ..sources.tables import dealt
 from .matching import _facts
 
 _ID = "CAST(p_partkey AS STRING)"
@@ -42,6 +43,10 @@ EXPORTED = _payload(
 )
 
 
+def _pages(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return dealt(_facts(spark, sf_dir, sql))
+
+
 def _shown(records: DataFrame) -> DataFrame:
     """Records with their lists and maps as text."""
     told = F.array_join(F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
@@ -50,27 +55,27 @@ def _shown(records: DataFrame) -> DataFrame:
 
 def decoded_faceted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose attributes are numbered fields."""
-    return _shown(faceted(_facts(spark, sf_dir, FACETED)))
+    return _shown(faceted(_pages(spark, sf_dir, FACETED)))
 
 
 def decoded_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with attributes in several languages, some named in base64."""
-    return _shown(encoded(_facts(spark, sf_dir, ENCODED)))
+    return _shown(encoded(_pages(spark, sf_dir, ENCODED)))
 
 
 def decoded_configurable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of families, one record for each member."""
-    return _shown(configurable(_facts(spark, sf_dir, CONFIGURABLE)))
+    return _shown(configurable(_pages(spark, sf_dir, CONFIGURABLE)))
 
 
 def decoded_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with a list of coded attributes."""
-    return _shown(coded(_facts(spark, sf_dir, CODED)))
+    return _shown(coded(_pages(spark, sf_dir, CODED)))
 
 
 def decoded_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """XML exports of all sections, of which one counts."""
-    return _shown(exported(_facts(spark, sf_dir, EXPORTED), "Phones"))
+    return _shown(exported(_pages(spark, sf_dir, EXPORTED), "Phones"))
 
 
 QUERIES = {f.__name__: f for f in (decoded_faceted, decoded_encoded, decoded_configurable, decoded_coded, decoded_exported)}
