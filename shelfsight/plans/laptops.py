@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import laptops as L
-from ..sources.tables import read
+from ..sources.tables import dealt, read
 
 # Each piece: what the title says, what the field says (or nothing), and what both mean (or nothing, where they don't agree).
 CHIPS = [
@@ -43,7 +43,7 @@ def laptop_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each laptop's axes and name, from its title and fields; an axis on which they don't agree is empty."""
     field = lambda pieces, step: F.array(_piece(pieces, 1, step))
     title = F.concat_ws(" ", F.lit("Laptop"), "p_brand", "p_name", F.when(F.col("p_partkey") % 3 == 0, "Night Blue"), F.concat(F.lit("- "), _piece(SCREENS, 0, 3), F.lit(", "), _piece(CHIPS, 0, 1), F.lit(", "), _piece(MEMORIES, 0, 2), F.lit(", "), _piece(CARDS, 0, 5), F.lit(", "), _piece(KEYBOARDS, 0, 7)))
-    rows = read(spark, sf_dir, "part").select("p_partkey", "p_brand", title.alias("title"), *[field(p, s).alias(n) for n, p, s in (("chips", CHIPS, 1), ("memories", MEMORIES, 2), ("screens", SCREENS, 3), ("cards", CARDS, 5), ("boards", KEYBOARDS, 7))])
+    rows = dealt(read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")).select("p_partkey", "p_brand", title.alias("title"), *[field(p, s).alias(n) for n, p, s in (("chips", CHIPS, 1), ("memories", MEMORIES, 2), ("screens", SCREENS, 3), ("cards", CARDS, 5), ("boards", KEYBOARDS, 7))])
     t = F.col("title")
     rows = rows.withColumns({"cpu": L.processor(t, F.col("chips"), _map(NUMBERS)), "screen_inch": L.screen(t, F.col("screens"))})
     name = L.without_colour(L.name_in_title(t, F.col("p_brand"), KINDS, F.col("screen_inch")), _map(COLOURS))
