@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .saved import saved
+
 SPELLINGS, EXAMPLES = 5, 3
 
 
@@ -20,15 +22,17 @@ def cases(stated: DataFrame, registry: DataFrame) -> DataFrame:
     """offer_id, field, written, reason, resolves_to of values (offer_id, field, written) against a registry (spelling, canonical).
 
     A value that isn't known is unknown, or a pair if all of its parts (between commas or slashes) are known and differ; only such values of a listing count,
-    if it has any. Else values of one listing that mean different things are in conflict, and if they mean one they resolve now.
+    if it has any. What a value means is found once for each different one and written: a common value's listings aren't brought together where
+    the values are few. Else values of one listing that mean different things are in conflict, and if they mean one they resolve now.
     """
     known = registry.select(value_key(F.col("spelling")).alias("key"), "canonical").groupBy("key").agg(F.min("canonical").alias("canonical"))
     rows = stated.where("trim(written) <> ''").withColumn("key", value_key(F.col("written"))).withColumn("parts", F.transform(F.split("key", r"\s*[,/]\s*"), F.trim))
-    words = rows.select(F.explode(F.array_union(F.array("key"), "parts")).alias("key")).distinct().join(known, "key")
-    whole = rows.join(words.withColumnRenamed("canonical", "resolves_to"), "key", "left")
-    part = whole.where("resolves_to is null and size(parts) > 1").select("key", F.explode("parts").alias("part")).distinct().join(words.select(F.col("key").alias("part"), "canonical"), "part", "left")
+    keys = saved(rows.select("key", "parts").distinct())
+    words = keys.select(F.explode(F.array_union(F.array("key"), "parts")).alias("key")).distinct().join(known, "key")
+    meant = keys.join(words.withColumnRenamed("canonical", "resolves_to"), "key", "left")
+    part = meant.where("resolves_to is null and size(parts) > 1").select("key", F.explode("parts").alias("part")).distinct().join(words.select(F.col("key").alias("part"), "canonical"), "part", "left")
     pairs = part.groupBy("key").agg(F.count_if(F.col("canonical").isNull()).alias("lost"), F.array_sort(F.collect_set("canonical")).alias("found")).where("lost = 0 and size(found) > 1").select("key", F.array_join("found", "-").alias("pair"))
-    whole = whole.join(pairs, "key", "left")
+    whole = rows.drop("parts").join(saved(meant.join(pairs, "key", "left").select("key", "resolves_to", "pair")), "key", "left")
     of = whole.groupBy("offer_id").agg(F.count_if(F.col("resolves_to").isNull()).alias("_unknown"), F.min("resolves_to").alias("_low"), F.max("resolves_to").alias("_high"))
     whole = whole.join(of, "offer_id").where("_unknown = 0 or resolves_to is null")
     reason = F.when(F.col("_unknown") > 0, F.when(F.col("pair").isNotNull(), "pair").otherwise("unknown")).when(F.col("_low") != F.col("_high"), "conflict").otherwise("resolves_now")
