@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from shelfsight.operators import promotion
 from shelfsight.operators.matching import axes, ladder
 from shelfsight.operators.promotion import promote
 
@@ -80,3 +81,21 @@ def test_a_popular_model_takes_a_round_for_each_entry_that_it_makes(spark):
 def test_nothing_waits(spark):
     categories = spark.createDataFrame([("c", ["size"], False)], "category string, required array<string>, strict boolean")
     assert promote(listings(spark, [(1, "g", "a", None, "m", None, None, True)]).limit(0), *catalogue(spark), categories, AXES, 9).outcomes.collect() == []
+
+
+def test_a_round_costs_two_writes_and_asks_the_catalogue_no_more(spark, monkeypatch):
+    written, save = [], promotion.saved
+
+    def kept(df):
+        written.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return save(df)
+
+    monkeypatch.setattr(promotion, "saved", kept)
+    rows = [(i, None, "Acme", f"P-{i}", "Chair", "sml"[i % 3], "red", True) for i in range(1, 10)]
+    categories = spark.createDataFrame([("c", ["size", "colour"], False)], "category string, required array<string>, strict boolean")
+    got = promotion.promote(listings(spark, rows), *catalogue(spark), categories, AXES, 1000)
+    out = got.outcomes.collect()
+    rounds = max(r.round for r in out)
+    assert {r.offer_id: (r.outcome, r.variant_id) for r in out} == {i: ("created" if i < 4 else "joined", 1000 + (i % 3 or 3)) for i in range(1, 10)}
+    assert rounds == 4 and len(written) <= 4 + 2 * rounds
+    assert not any("model" in plan or "mpn" in plan for plan in written[4:])  # what the catalogue holds was read before the first round
