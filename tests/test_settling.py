@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from shelfsight.operators import settling
 from shelfsight.operators.matching import axes
 from shelfsight.operators.settling import converge, rebuild, settle, settle_after_reread
 from shelfsight.operators.splitting import candidates, split
@@ -185,3 +186,16 @@ def test_a_table_that_is_saved_once(spark):
         assert got.count() == 3 and len(calls) == 1
     shutil.rmtree(got.inputFiles()[0].removeprefix("file://").rpartition("/")[0])
     assert saved_once(spark, ("some", "key"), make).count() == 3 and len(calls) == 2
+
+
+def test_listings_meet_what_they_are_placed_on_by_a_shuffle(spark, monkeypatch):
+    state = {k: settling.saved(v) for k, v in state_of(spark, [(i, *x) for i, x in ENTRIES.items()], PLACED).items()}
+    listings, plans, save = settling.saved(listings_of(spark, LISTED)), [], settling.saved
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df)
+
+    monkeypatch.setattr(settling, "saved", kept)
+    rebuild(state, listings, kinds(spark), AXES)
+    assert "SortMergeJoin" in plans[0] and "BroadcastExchange" not in plans[0]
