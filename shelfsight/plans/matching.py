@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.unicode import LEGAL_FORMS
 from ..operators.matching import CONFIDENCE, agreement, axes, brand_lookup, ladder, pending, unpublished_axes
 from ..operators.rewrite import merged, upserted
-from ..operators.saved import saved, saved_once
+from ..operators.saved import met, saved, saved_once, to_join
 from ..sources.tables import read
 
 AXES = ["size", "colour"]
@@ -109,7 +109,7 @@ def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that a listing was placed on, written: where they are few, listings meet them without a shuffle."""
     placed = _decided(spark, sf_dir).select(F.col("found").alias("variant_id")).where("variant_id is not null").distinct()
-    return saved(entries(spark, sf_dir).join(placed, "variant_id", "left_semi").select("variant_id", "brand", "model", "axes"))
+    return to_join(saved(entries(spark, sf_dir).hint("merge").join(placed, "variant_id", "left_semi").select("variant_id", "brand", "model", "axes")))
 
 
 def match_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
