@@ -182,7 +182,7 @@ def reconciled_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def learned_gtins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Barcodes of listings that another rung placed with all axes compared (in a strict category none excused), where no entry holds them."""
     rows = _decided(spark, sf_dir).where("complete and method in ('brand_mpn', 'brand_model') and gtin is not null and (method = 'brand_mpn' or not strict or size(excused) = 0)")
-    return rows.select(F.col("found").alias("variant_id"), "gtin").distinct().join(entries(spark, sf_dir).select("gtin").distinct(), "gtin", "left_anti").select("variant_id", "gtin")
+    return rows.select(F.col("found").alias("variant_id"), "gtin").distinct().hint("merge").join(entries(spark, sf_dir).select("gtin").distinct(), "gtin", "left_anti").select("variant_id", "gtin")
 
 
 def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:

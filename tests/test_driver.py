@@ -2,10 +2,14 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfsight.operators import saved
 from shelfsight.operators.matching import brand_lookup, ladder
+from shelfsight.plans import matching
+
+SF = "/root/testdata/sf0.001"
 
 
 def _plan(df) -> str:
@@ -57,3 +61,8 @@ def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
     answers = saved.saved(spark.createDataFrame([("a", 10), ("b", 20)], "_on string, n long"))
     monkeypatch.setattr(saved.F, "xxhash64", lambda *_: F.lit(3).cast("long"))
     assert {(r.id, r.text, r.n) for r in saved.met(rows, F.col("text"), "id", answers).collect()} == {(1, "a", 10), (2, "b", 20), (3, None, None), (4, "c", None)}
+
+
+@pytest.mark.parametrize("query", [matching.learned_gtins])
+def test_tables_that_grow_are_not_sent(spark, query):
+    assert "BroadcastHashJoin" not in _plan(query(spark, SF))
