@@ -1,4 +1,7 @@
-"""Changes of tables as rewrites by key: upsert, update from, delete, merges of entries. A dry run is the plan without the write."""
+"""Changes of tables as rewrites by key: upsert, update from, delete, merges of entries. A dry run is the plan without the write.
+
+An upsert merges both sides by a shuffle: changes grow with their table, and keys alone look small by the size of their files.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 
 def upserted(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """The table with rows of `changes` in place of those with their keys, and after those with none."""
-    return table.join(changes.select(*key), key, "left_anti").unionByName(changes.select(*table.columns))
+    return table.hint("merge").join(changes.select(*key), key, "left_anti").unionByName(changes.select(*table.columns))
 
 
 def updated(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:

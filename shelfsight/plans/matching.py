@@ -147,8 +147,8 @@ def queue_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queue after a pass over new listings: waiting ones try once more, placed ones leave, others stay as they were."""
     now = _decided(spark, sf_dir).where("is_new").select("offer_id", "reason", "brand")
     held = said(spark, sf_dir).where("offer_id % 3 = 0").select("offer_id", (F.col("offer_id") % 4 + 1).alias("attempts"), F.lit("signals_unmatched").alias("reason"), F.lit(None).cast("string").alias("brand"))
-    again = now.where("reason is not null").join(held.select("offer_id", F.col("attempts").alias("was")), "offer_id", "left").select("offer_id", (F.coalesce("was", F.lit(0)) + 1).alias("attempts"), "reason", "brand")
-    return upserted(held.join(now.where("reason is null").select("offer_id"), "offer_id", "left_anti"), again, ["offer_id"]).select("offer_id", "attempts", "reason", "brand")
+    again = now.where("reason is not null").hint("merge").join(held.select("offer_id", F.col("attempts").alias("was")), "offer_id", "left").select("offer_id", (F.coalesce("was", F.lit(0)) + 1).alias("attempts"), "reason", "brand")
+    return upserted(held.hint("merge").join(now.where("reason is null").select("offer_id"), "offer_id", "left_anti"), again, ["offer_id"]).select("offer_id", "attempts", "reason", "brand")
 
 
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,6 @@ def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
     assert {(r.id, r.text, r.n) for r in saved.met(rows, F.col("text"), "id", answers).collect()} == {(1, "a", 10), (2, "b", 20), (3, None, None), (4, "c", None)}
 
 
-@pytest.mark.parametrize("query", [matching.learned_gtins])
+@pytest.mark.parametrize("query", [matching.learned_gtins, matching.queue_upsert])
 def test_tables_that_grow_are_not_sent(spark, query):
     assert "BroadcastHashJoin" not in _plan(query(spark, SF))
