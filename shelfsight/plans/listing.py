@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.listing import Filters, filtered, ordered
-from ..operators.saved import saved, saved_once
+from ..operators.saved import met, saved, saved_once, to_join
 from ..sources.tables import read
 from .matching import _LADDER, _decided, _found, categories
 
@@ -23,10 +23,11 @@ NAMES = [f.name for f in fields(Filters)]
 
 
 def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shops = saved(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seller_id"), F.col("s_name").alias("shop"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("market")))
+    shops = to_join(saved(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seller_id"), F.col("s_name").alias("shop"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("market"))))
     held = _found(spark, sf_dir).select(F.col("variant_id").alias("found"), F.col("variant_id"), F.col("brand").alias("entry_brand"), F.concat_ws("|", "brand", "model").alias("product"))
-    required = saved(categories(spark, sf_dir).select("category", "required"))
-    rows = _decided(spark, sf_dir).where("offer_id is not null").join(shops, "seller_id", "left").join(held, "found", "left").join(required, "category", "left")
+    required = saved(categories(spark, sf_dir).select(F.col("category").alias("_on"), "required"))
+    rows = _decided(spark, sf_dir).where("offer_id is not null").join(shops, "seller_id", "left").join(held, "found", "left")
+    rows = met(rows, F.col("category"), "offer_id", required)
     lacks = F.filter("required", lambda a: F.col("axes")[a].isNull())
     missing = F.when(F.size(lacks) > 0, F.concat(F.lit("/"), F.array_join(lacks, "/"), F.lit("/"))).when(F.col("required").isNotNull(), "")
     sources = F.when(F.col("offer_id") % 3 == 0, F.array(F.col("channel"), F.col("channel") + 1)).otherwise(F.array("channel"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.unicode import LEGAL_FORMS
 from ..operators.matching import CONFIDENCE, agreement, axes, brand_lookup, ladder, pending, unpublished_axes
 from ..operators.rewrite import merged, upserted
-from ..operators.saved import met, saved, saved_once, to_join
+from ..operators.saved import saved, saved_once, to_join
 from ..sources.tables import read
 
 AXES = ["size", "colour"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfsight.operators import saved
 from shelfsight.operators.matching import brand_lookup, ladder
-from shelfsight.plans import lineage, matching
+from shelfsight.plans import lineage, listing, matching
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,3 +76,7 @@ def test_entries_that_are_many_are_not_sent(spark, monkeypatch):
     matching._decided(spark, SF)
     monkeypatch.setattr(saved, "SENT", -1)
     assert "BroadcastHashJoin" not in _plan(matching.axes_compared(spark, SF))
+
+
+def test_the_list_of_listings_sends_no_table_keyed_by_text(spark):
+    assert not BY_TEXT.search(_plan(listing._made(spark, SF)))
