@@ -5,10 +5,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from shelfsight.operators import saved
+from shelfsight.operators import promotion, saved
 from shelfsight.operators.matching import brand_lookup, ladder
 from shelfsight.plans import lineage, listing, matching
 
+from . import test_promotion
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -80,3 +82,17 @@ def test_entries_that_are_many_are_not_sent(spark, monkeypatch):
 
 def test_the_list_of_listings_sends_no_table_keyed_by_text(spark):
     assert not BY_TEXT.search(_plan(listing._made(spark, SF)))
+
+
+def _plans_of(monkeypatch, module) -> list[str]:
+    plans, save = [], module.saved
+    monkeypatch.setattr(module, "saved", lambda df: plans.append(_plan(df)) or save(df))
+    return plans
+
+
+def test_promotion_sends_no_table_keyed_by_text(spark, monkeypatch):
+    plans = _plans_of(monkeypatch, promotion)
+    rows = [(i, None, "Acme", f"P-{i}", "Chair", "sml"[i % 3], "red", True) for i in range(1, 5)]
+    categories = spark.createDataFrame([("c", ["size", "colour"], False)], "category string, required array<string>, strict boolean")
+    promotion.promote(test_promotion.listings(spark, rows), *test_promotion.catalogue(spark), categories, test_promotion.AXES, 1000)
+    assert len(plans) > 4 and not any(BY_TEXT.search(p) for p in plans)
