@@ -5,11 +5,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from shelfsight.operators import promotion, saved
+from shelfsight.operators import promotion, saved, settling
 from shelfsight.operators.matching import brand_lookup, ladder
 from shelfsight.plans import lineage, listing, matching
 
-from . import test_promotion
+from . import test_promotion, test_settling
 
 SF = "/root/testdata/sf0.001"
 
@@ -96,3 +96,12 @@ def test_promotion_sends_no_table_keyed_by_text(spark, monkeypatch):
     categories = spark.createDataFrame([("c", ["size", "colour"], False)], "category string, required array<string>, strict boolean")
     promotion.promote(test_promotion.listings(spark, rows), *test_promotion.catalogue(spark), categories, test_promotion.AXES, 1000)
     assert len(plans) > 4 and not any(BY_TEXT.search(p) for p in plans)
+
+
+def test_a_rebuild_sends_no_table_keyed_by_text(spark, monkeypatch):
+    t = test_settling
+    state = {k: settling.saved(v) for k, v in t.state_of(spark, [(i, *x) for i, x in t.ENTRIES.items()], t.PLACED).items()}
+    listings, kinds = settling.saved(t.listings_of(spark, t.LISTED)), settling.saved(t.kinds(spark))
+    plans = _plans_of(monkeypatch, settling)
+    settling.rebuild(state, listings, kinds, t.AXES)
+    assert len(plans) > 4 and not any(BY_TEXT.search(p) for p in plans)
